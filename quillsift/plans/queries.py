@@ -1,4 +1,249 @@
-"""The scan's own queries and their SQL."""
+"""The scan's own queries and the SQL they are held against.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+A document is a file with one block, a page a file named by its url, a conversation a file with a block for each turn.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import email, pan
+from ..functions.text import make_chunks, normalize, sizeof_fmt, suffix
+from ..operators import results, selection
+from ..operators.limits import within_limits
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"), F.lit(0).alias("block"), F.col("text").alias("content"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("filename"), F.lit(0).alias("block"), F.col("html").alias("content"))
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("filename"), F.col("turn").alias("block"), F.col("text").alias("content"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).union(_pages(spark, sf_dir))
+
+
+def normalize_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = normalize(F.coalesce("text", F.lit("")))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.length(clean).alias("clean_chars"), F.md5(clean.cast("binary")).alias("clean_md5"))
+
+
+def _spread(spark: SparkSession, sf_dir: str, values, name: str) -> DataFrame:
+    rows = _files(spark, sf_dir).select("filename", normalize(F.coalesce("content", F.lit(""))).alias("clean"))
+    return rows.select("filename", F.posexplode(values(F.col("clean"))).alias("pos", name))
+
+
+def email_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(spark, sf_dir, email.candidates, "candidate")
+
+
+def email_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return email_candidates(spark, sf_dir).select("filename", "pos", "candidate", email.is_valid(F.col("candidate")).alias("valid"))
+
+
+def email_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return email_valid(spark, sf_dir).where("valid").select("filename", email.redact(F.col("candidate")).alias("value")).distinct()
+
+
+def _pan_brand(brand: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _spread(spark, sf_dir, lambda c: pan.candidates(c, brand), "candidate")
+        return found.select("filename", "pos", F.length("candidate").alias("n_chars"), pan.is_valid(F.col("candidate")).alias("valid"), pan.redact(F.col("candidate")).alias("value"))
+
+    return query
+
+
+def pan_last_per_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.flat(results.findings(_documents(spark, sf_dir), ["pan"], mode="last_per_brand"))
+
+
+def luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _read(spark, sf_dir, "orders").select(F.col("o_orderkey"))
+    return keys.select("o_orderkey", pan.is_valid(F.col("o_orderkey").cast("string")).alias("valid"))
+
+
+def scan_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.flat(results.findings(_files(spark, sf_dir)))
+
+
+def scan_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.csv_rows(scan_flat(spark, sf_dir))
+
+
+def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.count_results(results.findings(_files(spark, sf_dir)))
+
+
+def scan_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.nested(results.findings(_files(spark, sf_dir))).select("filename", F.to_json("matches").alias("matches"))
+
+
+def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("dir"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
+    return results.totals(files, files.where(selection.file_checks(F.col("length"))), results.findings(_documents(spark, sf_dir)))
+
+
+def conversation_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.flat(results.findings(_conversations(spark, sf_dir)))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths made of the page urls, with one of several extensions by id."""
+    names = F.array(*map(F.lit, (".html", ".txt", ".TXT", ".docx", ".bin", "", ".xlsx", ".pdf", ".tar.json")))
+    ext = F.element_at(names, (F.col("page_id") % 9 + 1).cast("int"))
+    path = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", ""), ext)
+    kinds = F.array(*map(F.lit, ("text/html", "application/pdf", "image/png")))
+    mime = F.when(F.col("page_id") % 4 > 0, F.element_at(kinds, (F.col("page_id") % 4).cast("int")))
+    return _read(spark, sf_dir, "pages").select("page_id", path.alias("path"), mime.alias("mime"), F.length(F.coalesce("html", F.lit(""))).cast("long").alias("length"))
+
+
+def file_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("page_id", "path", suffix(F.col("path")).alias("ext"))
+
+
+def handler_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _paths(spark, sf_dir).withColumn("ext", suffix(F.col("path")))
+    return rows.select("page_id", "ext", F.coalesce("mime", F.lit("")).alias("mime"), F.coalesce(selection.handler(F.col("ext"), F.col("mime")), F.lit("none")).alias("handler"))
+
+
+def file_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _paths(spark, sf_dir).withColumn("ext", suffix(F.col("path")))
+    return rows.where(selection.file_checks(F.col("length"))).select("page_id", selection.file_matches(F.col("ext"), F.col("mime"), [".txt", ".docx"], ["application/pdf"]).alias("matched"))
+
+
+def exclude_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    return _paths(spark, sf_dir).select("page_id", directory.alias("dir")).where(~selection.excluded(F.col("dir"), ["/WWW.", "/blog.t", "/m.th*"]))
+
+
+def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("n_chars") * F.col("n_chars") * 37
+    return _read(spark, sf_dir, "documents").select("doc_id", sizeof_fmt(value).alias("size"))
+
+
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(make_chunks(F.coalesce("text", F.lit("")))).alias("pos", "chunk"))
+    return rows.select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+def blank_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells made of line items: a sheet an order, a row a line, ten cells a row, blank by a rule."""
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").cast("long").alias("row"), "l_quantity", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("col"))
+    value = F.when((F.col("sheet") + F.col("row") * 3 + F.col("col")) % 4 < 2, F.col("l_quantity").cast("int").cast("string")).otherwise("")
+    cells = lines.select("sheet", "row", "col", F.when((F.col("sheet") + F.col("row")) % 3 == 0, "").otherwise(value).alias("value"))
+    return within_limits(cells, blank_cells=2, blank_rows=1)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (normalize_content, email_candidates, email_valid, email_redacted, pan_last_per_brand, luhn, scan_flat, scan_csv_rows, scan_counts, scan_nested, scan_totals, conversation_union, file_projection, handler_resolve, file_matches, exclude_dirs, size_format, chunked, blank_limits)
+} | {f"pan_{brand}": _pan_brand(brand) for brand in pan.BRANDS}
+
+_SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+"
+
+
+def _clean(column: str) -> str:
+    return f"trim(regexp_replace(coalesce({column}, ''), '{_SPACE}', ' ', 'g'))"
+
+
+_ATOM = "[a-zA-Z0-9!#$%&''*+/=?^_`{|}~-]"
+_LABEL = "[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?"
+_EMAIL = rf"(?:{_ATOM}+(?:\.{_ATOM}+)*|\"(?:[\x01-\x08\x0b\x0c\x0e-\x1f\x21\x23-\x5b\x5d-\x7f]|\\[\x01-\x09\x0b\x0c\x0e-\x7f])*\")@(?:{_LABEL}\.)+{_LABEL}"
+_BRAND = {k: r"(?:^|[^\p{Nd}.-])" + v + r"(?:$|[^\p{Nd}.-])" for k, v in pan.BRANDS.items()}
+_STRIP = f"regexp_replace(unnest(found), '^{_SPACE}|{_SPACE}$', '', 'g')"
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+_FILES_SQL = f"""files AS (
+    SELECT 'doc-' || doc_id::VARCHAR AS filename, {_clean('text')} AS clean FROM documents
+    UNION ALL SELECT 'page-' || page_id::VARCHAR, {_clean('html')} FROM pages)"""
+_DOCS_SQL = f"files AS (SELECT 'doc-' || doc_id::VARCHAR AS filename, {_clean('text')} AS clean FROM documents)"
+_MAIL_SQL = f"""raw AS (SELECT filename, regexp_extract_all(clean, '{_EMAIL}') AS found FROM files WHERE contains(clean, '@')),
+mails AS (SELECT filename, unnest(range(len(found)))::INT AS pos, unnest(found) AS candidate FROM raw),
+split AS (SELECT *, split_part(candidate, '@', 1) AS local, split_part(candidate, '@', 2) AS domain, len(string_split(candidate, '@')) = 2 AS one FROM mails),
+checked AS (SELECT *, one AND length(local) BETWEEN 1 AND 64 AND length(domain) BETWEEN 1 AND 253 AND len(list_filter(string_split(domain, '.'), lambda x: length(x) > 63)) = 0
+    AND regexp_matches(domain, '\\.[a-zA-Z]{{2,63}}$') AS valid FROM split),
+mail_values AS (SELECT DISTINCT filename, CASE WHEN length(local) <= 1 THEN repeat('*', length(local)) WHEN length(local) <= 5 THEN local[1] || repeat('*', length(local) - 1)
+    WHEN length(local) < 10 THEN local[1] || repeat('*', length(local) - 2) || local[-1] ELSE local[1:3] || repeat('*', length(local) - 4) || local[-1] END || '@' || domain AS value
+    FROM checked WHERE valid)"""
+
+
+def _pan_sql(brands: list[str]) -> str:
+    each = "\nUNION ALL ".join(f"SELECT filename, '{b}' AS key, regexp_extract_all(clean, '{_BRAND[b]}') AS found FROM files" for b in brands)
+    return f"""hits AS ({each}),
+cards AS (SELECT filename, key, unnest(range(len(found)))::INT AS pos, {_STRIP} AS candidate FROM hits),
+digits AS (SELECT *, regexp_replace(candidate, '[^0-9]', '', 'g') AS d FROM cards),
+lit AS (SELECT *, list_sum(list_transform(range(length(d)), lambda k: CASE WHEN k % 2 = 0 THEN d[length(d) - k]::INT
+    ELSE (d[length(d) - k]::INT * 2) // 10 + (d[length(d) - k]::INT * 2) % 10 END)) % 10 = 0 AS valid FROM digits),
+told AS (SELECT *, list_aggregate(list_transform(range(1, length(candidate) + 1), lambda i: CASE WHEN regexp_matches(candidate[i], '[0-9]')
+    AND length(regexp_replace(candidate[1:i], '[^0-9]', '', 'g')) > 6 AND length(regexp_replace(candidate[1:i], '[^0-9]', '', 'g')) <= length(d) - 4 THEN '*' ELSE candidate[i] END), 'string_agg', '') AS value FROM lit)"""
+
+
+_ALL_SQL = _with(
+    _FILES_SQL, _MAIL_SQL, _pan_sql(list(pan.BRANDS)),
+    "flat AS (SELECT filename, 'Email Address' AS datatype, 'email' AS key, value FROM mail_values UNION SELECT filename, 'Primary Account Number', key, value FROM told WHERE valid)",
+)
+
+_PATHS_SQL = """paths AS (SELECT page_id, '/' || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')
+    || (['.html', '.txt', '.TXT', '.docx', '.bin', '', '.xlsx', '.pdf', '.tar.json'])[page_id % 9 + 1] AS path,
+    CASE WHEN page_id % 4 > 0 THEN (['text/html', 'application/pdf', 'image/png'])[page_id % 4] END AS mime, length(coalesce(html, '')) AS length FROM pages),
+suffixed AS (SELECT *, regexp_extract(regexp_extract(path, '([^/]*)/*$', 1), '^.+(\\.[^.]+)$', 1) AS ext FROM paths)"""
+
+
+def _one_of(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_HANDLER_SQL = "CASE " + " ".join(f"WHEN ext IN {_one_of(h['ext'])} OR mime IN {_one_of(h['mime'])} THEN '{name}'" for name, h in selection.HANDLERS.items()) + " ELSE 'none' END"
+_POWERS = [(u, k) for k, u in enumerate(("", "K", "M", "G", "T", "P", "E", "Z"))]
+
+ORACLES: dict[str, str] = {
+    "normalize_content": f"SELECT doc_id, length({_clean('text')})::INT AS clean_chars, md5({_clean('text')}) AS clean_md5 FROM documents",
+    "email_candidates": _with(_FILES_SQL, _MAIL_SQL) + "SELECT filename, pos, candidate FROM mails",
+    "email_valid": _with(_FILES_SQL, _MAIL_SQL) + "SELECT filename, pos, candidate, valid FROM checked",
+    "email_redacted": _with(_FILES_SQL, _MAIL_SQL) + "SELECT filename, value FROM mail_values",
+    "pan_last_per_brand": _with(_DOCS_SQL, _pan_sql(list(pan.BRANDS))) + """SELECT filename, 'Primary Account Number' AS datatype, key, arg_max(value, pos) AS value FROM told WHERE valid GROUP BY filename, key""",
+    "luhn": """SELECT o_orderkey, list_sum(list_transform(range(length(d)), lambda k: CASE WHEN k % 2 = 0 THEN d[length(d) - k]::INT
+        ELSE (d[length(d) - k]::INT * 2) // 10 + (d[length(d) - k]::INT * 2) % 10 END)) % 10 = 0 AS valid FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS d FROM orders)""",
+    "scan_flat": _ALL_SQL + "SELECT filename, datatype, key, value FROM flat",
+    "scan_csv_rows": _ALL_SQL + "SELECT filename, datatype, key || ': ' || value AS value FROM flat",
+    "scan_counts": _ALL_SQL + "SELECT filename, count(*) AS results FROM flat GROUP BY filename",
+    "scan_nested": _ALL_SQL + r""", keys AS (SELECT filename, datatype, key, '["' || string_agg(replace(replace(value, '\', '\\'), '"', '\"'), '","' ORDER BY value) || '"]' AS listed FROM flat GROUP BY ALL),
+types AS (SELECT filename, datatype, '{' || string_agg('"' || key || '":' || listed, ',' ORDER BY key) || '}' AS keys FROM keys GROUP BY ALL)
+SELECT filename, '{' || string_agg('"' || datatype || '":' || keys, ',' ORDER BY datatype) || '}' AS matches FROM types GROUP BY filename""",
+    "scan_totals": _with(_DOCS_SQL, _MAIL_SQL, _pan_sql(list(pan.BRANDS)), "flat AS (SELECT filename, 'e' AS t, 'email' AS key, value FROM mail_values UNION SELECT filename, 'p', key, value FROM told WHERE valid)") + """
+SELECT count(DISTINCT coalesce(source, '')) AS dirs_found, count(*) AS files_found, sum(length(coalesce(text, '')))::BIGINT AS bytes_found,
+    count(DISTINCT coalesce(source, '')) FILTER (length(coalesce(text, '')) > 0) AS dirs_scanned, count(*) FILTER (length(coalesce(text, '')) > 0) AS files_scanned,
+    sum(length(coalesce(text, '')))::BIGINT AS bytes_scanned, (SELECT count(*) FROM flat) AS total_results FROM documents""",
+    "conversation_union": _with(f"files AS (SELECT 'conv-' || conv_id::VARCHAR AS filename, {_clean('text')} AS clean FROM conversations)", _MAIL_SQL, _pan_sql(list(pan.BRANDS))) + "SELECT filename, 'Email Address' AS datatype, 'email' AS key, value FROM mail_values UNION SELECT filename, 'Primary Account Number', key, value FROM told WHERE valid",
+    "file_projection": _with(_PATHS_SQL) + "SELECT page_id, path, ext FROM suffixed",
+    "handler_resolve": _with(_PATHS_SQL) + f"SELECT page_id, ext, coalesce(mime, '') AS mime, {_HANDLER_SQL} AS handler FROM suffixed",
+    "file_matches": _with(_PATHS_SQL) + "SELECT page_id, ext IN ('.txt', '.docx') OR coalesce(mime IN ('application/pdf'), false) AS matched FROM suffixed WHERE length > 0",
+    "exclude_dirs": _with(_PATHS_SQL) + "SELECT page_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM paths WHERE NOT (starts_with(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '/www.') OR starts_with(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '/blog.t') OR starts_with(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '/m.th*'))",
+    "size_format": "SELECT doc_id, CASE " + " ".join(f"WHEN v / {1024.0**k} < 1024 THEN printf('%.1f{u}B', v / {1024.0**k})" for u, k in _POWERS) + " END AS size FROM (SELECT doc_id, (n_chars * n_chars * 37)::DOUBLE AS v FROM documents)",
+    "blank_limits": """WITH cells AS (SELECT l_orderkey AS sheet, l_linenumber::BIGINT AS row, k::INT AS col,
+    CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN '' WHEN (l_orderkey + l_linenumber * 3 + k) % 4 < 2 THEN l_quantity::INT::VARCHAR ELSE '' END AS value
+    FROM lineitem, range(1, 11) t(k)),
+seen AS (SELECT *, sum((value = '')::INT) OVER (PARTITION BY sheet, row ORDER BY col) AS blanks FROM cells),
+rows AS (SELECT sheet, row, max((value <> '' AND blanks <= 2)::INT) AS data FROM seen GROUP BY ALL),
+runs AS (SELECT *, sum(data) OVER (PARTITION BY sheet ORDER BY row) AS run FROM rows),
+empties AS (SELECT *, sum(1 - data) OVER (PARTITION BY sheet, run ORDER BY row) AS empty FROM runs),
+stops AS (SELECT sheet, min(row) AS stop FROM empties WHERE empty > 1 GROUP BY sheet)
+SELECT s.sheet, s.row, s.col, s.value FROM seen s LEFT JOIN stops t ON s.sheet = t.sheet WHERE value <> '' AND blanks <= 2 AND (stop IS NULL OR s.row < stop)""",
+} | {f"pan_{b}": _with(_FILES_SQL, _pan_sql([b])) + "SELECT filename, pos, length(candidate)::INT AS n_chars, valid, value FROM told" for b in pan.BRANDS}
