@@ -58,5 +58,5 @@ def redact(text: Column, mask: str = "*") -> Column:
 
 def find(text: Column, mode: str = "distinct", lookaround: bool = False) -> Column:
     """array<struct<key, value>> of the distinct redacted addresses of a text."""
-    values = F.array_distinct(F.transform(F.filter(candidates(text), is_valid), redact))
+    values = F.array_distinct(F.transform(F.filter(candidates(text), is_valid), lambda v: redact(v)))
     return F.transform(values, lambda v: F.struct(F.lit("email").alias("key"), v.alias("value")))

@@ -34,7 +34,7 @@ def candidates(text: Column, brand: str, lookaround: bool = False) -> Column:
 
 def is_valid(text: Column) -> Column:
     """Luhn checksum of the ASCII digits."""
-    return F.luhn_check(F.regexp_replace(text, "[^0-9]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(text, "[^0-9]", ""))
 
 
 def redact(text: Column, mask: str = "*") -> Column:
@@ -61,7 +61,7 @@ def find(text: Column, mode: str = "distinct", lookaround: bool = False) -> Colu
         valid = F.filter(candidates(text, brand, lookaround), is_valid)
         if mode == "last_per_brand":
             valid = F.slice(valid, -1, 1)
-        values = F.array_distinct(F.transform(valid, redact))
+        values = F.array_distinct(F.transform(valid, lambda v: redact(v)))
         return F.transform(values, lambda v: F.struct(F.lit(brand).alias("key"), v.alias("value")))
 
     return F.when(text.rlike(ANY), F.concat(*map(of, BRANDS))).otherwise(F.array().cast(entry))

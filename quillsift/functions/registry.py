@@ -25,8 +25,10 @@ def supported() -> list[str]:
 
 def detect(text: Column, names: list[str] | None = None, mode: str = "distinct", lookaround: bool = False) -> Column:
     """array<struct<datatype, key, value>> of all detectors named, in one projection over the text."""
-    parts = []
-    for name in supported() if names is None else names:
+
+    def of(name: str) -> Column:
         datatype, find = _DETECTORS[name]
-        parts.append(F.transform(find(text, mode=mode, lookaround=lookaround), lambda m, d=datatype: F.struct(F.lit(d).alias("datatype"), m["key"].alias("key"), m["value"].alias("value"))))
+        return F.transform(find(text, mode=mode, lookaround=lookaround), lambda m: F.struct(F.lit(datatype).alias("datatype"), m["key"].alias("key"), m["value"].alias("value")))
+
+    parts = [of(name) for name in (supported() if names is None else names)]
     return F.concat(*parts) if parts else F.array().cast("array<struct<datatype: string, key: string, value: string>>")

@@ -18,7 +18,7 @@ from .readers import READERS
 def list_files(spark: SparkSession, config: ScanConfig) -> DataFrame:
     """(path, dir, ext, length, modified, mime) of the files under the start directories; content is not read.
 
-    The listing is Spark's own and parallel, for any store it can read; names that begin with . or _ are left out of it
+    The listing is Spark's own and parallel, for any store it can read; empty files and names that begin with . or _ are left out of it
     unless `hidden` is set, which walks the directories on the driver and is meant for local disks.
     """
     if config.hidden:
@@ -66,7 +66,7 @@ def read_blocks(spark: SparkSession, config: ScanConfig) -> DataFrame:
     own = files.select("path", F.regexp_extract(plain, r"^(.*)/[^/]*$", 1).alias("dir"), suffix(F.col("path")).alias("ext"), "length", "content")
     kept = own if config.hidden else own.where(~selection.excluded(F.col("dir"), config.exclude_dirs, config.start_dirs))
     typed = kept.withColumn("mime", selection.media_type(F.substring("content", 1, 16)))
-    chosen = select(typed, config).withColumn("handler", selection.handler(F.col("ext"), F.col("mime")))
+    chosen = select(typed, config).withColumn("handler", selection.handler(F.lower("ext") if config.ignore_case else F.col("ext"), F.col("mime")))
     return extract(chosen.select("path", "handler", "content"))
 
 
