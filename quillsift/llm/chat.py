@@ -48,14 +48,14 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     parents = state.where("up IS NOT NULL").select("conv", F.col("up").alias("msg")).distinct()
     leaves = state.join(parents, ["conv", "msg"], "left_anti").select("conv", "msg")
     reach, rounds = [], 1 + max(1, math.ceil(math.log2(max(2, state.count()))))
-    while len(reach) < rounds and state.where("up IS NOT NULL").head(1):
-        reach.append(state.where("up IS NOT NULL").select("conv", "msg", "up"))
+    while len(reach) < rounds and (pending := state.where("up IS NOT NULL")).head(1):
+        reach.append(pending.select("conv", "msg", "up"))
         above = state.select("conv", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = settle(
-            state.join(above, ["conv", "up"], "left").select(
-                "conv", "msg", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-            )
+        # only pointers that haven't reached a root are joined: a thread's rows leave the rounds as soon as its own depth is covered
+        moved = pending.join(above, ["conv", "up"]).select(
+            "conv", "msg", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")
         )
+        state = settle(moved.union(state.where("up IS NULL").select("conv", "msg", "up", "depth", "total")))
     ranked = state.where("up IS NULL").join(leaves, ["conv", "msg"])
     if top == 1:
         best = ranked.groupBy("conv").agg(F.max(F.struct("total", "depth", (-F.col("msg")).alias("m"))).alias("x")).select("conv", (-F.col("x.m")).alias("leaf"), F.lit(1).alias("branch"))
