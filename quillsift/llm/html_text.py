@@ -25,6 +25,8 @@ from .common import settle, ship
 
 THRESHOLD = 0.3
 MIN_PAGES = 3
+#: Containers below this depth are no nodes of their own in the tree, so that senselessly nested pages cost no more than others.
+DEPTH = 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -39,16 +41,16 @@ _CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("d
 
 
 class Node:
-    __slots__ = ("tag", "name", "path", "children", "prior")
+    __slots__ = ("tag", "path", "depth", "children", "prior")
 
-    def __init__(self, tag: str, name: str, path: str, prior: float | None) -> None:
-        self.tag, self.name, self.path, self.prior = tag, name, path, prior
+    def __init__(self, tag: str, path: str, depth: int, prior: float | None) -> None:
+        self.tag, self.path, self.depth, self.prior = tag, path, depth, prior
         self.children: list[Node | str] = []
 
 
 def parse(page: str) -> Node:
     """The page's tree: elements and text, without comments, scripts and other raw parts. Never fails, whatever is unclosed."""
-    root = Node("", "", "", None)
+    root = Node("", "", 0, None)
     stack, at, end = [root], 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -76,7 +78,9 @@ def parse(page: str) -> Node:
         words = " ".join(filter(None, names.values()))
         name = tag + ("." + ".".join(words.split()) if words else "")
         prior = 0.0 if tag in _LOW_TAGS or (words and tag not in ("body", "html") and _LOW_NAMES.search(words)) else 1.0 if tag in _HIGH_TAGS or names.get("role") == "main" else None
-        node = Node(tag, name, f"{stack[-1].path}/{name}" if tag in _CONTAINERS else stack[-1].path, prior)
+        above = stack[-1]
+        own = tag in _CONTAINERS and above.depth < DEPTH
+        node = Node(tag, f"{above.path}/{name}" if own else above.path, above.depth + (tag in _CONTAINERS), prior)
         stack[-1].children.append(node)
         if tag not in _VOID:
             stack.append(node)
@@ -84,17 +88,27 @@ def parse(page: str) -> Node:
 
 
 def _flat(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else " " + _flat(c) if c.tag not in _INLINE else _flat(c) for c in node.children)
+    out: list[str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            if x.tag not in _INLINE:
+                out.append(" ")
+            todo += reversed(x.children)
+    return "".join(out)
 
 
 def branches(root: Node) -> Iterator[tuple[str, str, int]]:
-    """(path, style, content's hash) of the containers that no prior decides above."""
+    """(path, style, content's hash) of the containers down to DEPTH that no prior decides above."""
     todo = [root]
     while todo:
         node = todo.pop()
         for c in node.children:
             if isinstance(c, Node):
-                if c.tag in _CONTAINERS and c.tag != "body":
+                if c.tag in _CONTAINERS and c.tag != "body" and c.depth <= DEPTH:
                     seen = [x.tag for x in c.children if isinstance(x, Node)]
                     style = ",".join(t for k, t in enumerate(seen) if not k or seen[k - 1] != t)
                     yield c.path, style, xxhash.xxh64_intdigest(" ".join(_flat(c).split()).encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -130,7 +144,7 @@ def blocks(root: Node, cut: frozenset[str]) -> list[str]:
                 now.append(node)
         else:
             inside = inside or id(node) in keep
-            if node.prior == 0.0 or (node.prior is None and node.tag in _CONTAINERS and node.path in cut):
+            if node.prior == 0.0 or (node.prior is None and node.tag in _CONTAINERS and node.depth <= DEPTH and node.path in cut):
                 continue
             if node.tag == "br":
                 now.append(" ")
