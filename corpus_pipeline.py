@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import exact_dedup, mixing, quality, sentencepiece_codec, simhash
-from quillsift.llm.common import settle, table
+from quillsift.llm.common import settle, sha256_hex, table, text_or_empty
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,23 +21,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id."""
+    """One row of each group of equal texts, of the document with the largest id; a row that is there twice is kept once."""
     groups = exact_dedup.exact_groups(docs)
-    dropped = settle(groups.where("NOT kept").select("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    own = settle(groups.select("doc_id", "keep_id", "text_sha256"))
+    dropped = settle(own.where("NOT (doc_id <=> keep_id)").select("doc_id", "text_sha256"))
+    twice = settle(own.where("doc_id <=> keep_id").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    rows = docs.select(*COLUMNS, sha256_hex(text_or_empty()).alias("text_sha256"))
+    at = lambda keys: rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["text_sha256"] == keys["text_sha256"])
+    kept = rows.join(dropped, at(dropped), "left_anti")
+    if twice.head(1):  # only the rows that are there twice are moved
+        again = rows.join(twice, at(twice), "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+        kept = kept.join(twice, at(twice), "left_anti").union(again)
+    return kept.select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
+    """One document of each near-duplicate group, the one with the smallest id; rows of one id share its fate, rows without an id stay."""
     groups = simhash.near_duplicates(docs)
-    dropped = settle(groups.where("doc_id <> component_id").select("doc_id"))
+    dropped = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them, in the order of the curriculum."""
-    placed = mixing.curriculum(mixing.plan(docs, whole=True)).select("doc_id", "copy", "position")
-    copies = docs.join(settle(placed), "doc_id")
+    """Whole documents as often as the mix takes them, in the order of the curriculum; rows of one id are placed together."""
+    placed = settle(mixing.curriculum(mixing.plan(docs, whole=True)).groupBy("doc_id", "copy").agg(F.min("position").alias("position")))
+    copies = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).select(*[docs[c] for c in COLUMNS], "copy", "position")
     return copies.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy").select(*COLUMNS)
 
 

@@ -70,7 +70,7 @@ def _blocks(docs: DataFrame, key: Column) -> list[int]:
     """The first keys of ranges of about BLOCK_ROWS rows; they are keys of the table, so each range knows its first row."""
     seen = docs.agg(F.count("*").alias("n"), F.min(key).alias("least")).first()
     if not seen["n"]:
-        return []
+        return [0]
     n = max(1, min(MOST_BLOCKS, seen["n"] // BLOCK_ROWS))
     cuts = docs.agg(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], max(10000, 4 * n)).alias("cuts")).first()["cuts"] if n > 1 else []
     return sorted({seen["least"], *cuts})
@@ -99,7 +99,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coarse = F.split(F.lit(",".join(map(str, firsts[::64]))), ",").cast("array<bigint>")
     group = F.size(F.filter(coarse, lambda c: c <= F.col("key"))) - 1
     block = _let(F.greatest(group, F.lit(0)), lambda g: g * 64 + F.size(F.filter(F.slice(cuts, g * 64 + 1, 64), lambda c: c <= F.col("key"))) - 1)
-    last = max(0, len(firsts) - 1)
+    last = len(firsts) - 1
     is_first = F.element_at(cuts, F.col("block") + 1) == F.col("key")
     home = F.struct(F.col("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.when(F.col("block") > 0, F.col("block") - 1).otherwise(last).alias("block"), F.lit(True).alias("guest"))

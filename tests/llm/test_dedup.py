@@ -1,0 +1,171 @@
+import hashlib
+import itertools
+import random
+
+import pytest
+import xxhash
+
+from quillsift.llm import exact_dedup, line_dedup, simhash
+from quillsift.llm.components import components
+
+SCHEMA = "doc_id long, text string, keep_id string, row int, bits string, source string"
+SF = "/root/testdata/sf0.001"
+
+
+def frame(spark, rows):
+    """Documents with extra columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "x", 7, "y", "s") for i, t in rows], SCHEMA)
+
+
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "One"), (6, "a b c d e f g"), (6, "a b c d e f g"), (None, "a b c d e f g"), (8, "word " * 30000), (9, "word " * 30000), (10, "x" * 200000)]
+
+
+def brute_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(bits, radius):
+    label = {k: k for k in bits}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in itertools.combinations(bits, 2):
+            if (bits[a] ^ bits[b]).bit_count() <= radius and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    return label
+
+
+def test_simhash_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    bits = {k: brute_fingerprint(t) for k, t in texts.items()}
+    want = brute_components(bits, 3)
+    got = simhash.near_duplicates(docs).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {k: (f"{bits[k]:016x}", want[k]) for k in bits}
+
+
+@pytest.mark.parametrize("shard_rows", [4, 50, 4096])
+def test_links_of_clustered_fingerprints(spark, shard_rows):
+    """Chains and balls of fingerprints, with shards cut into several trees."""
+    random.seed(shard_rows)
+    values = {random.getrandbits(64) for _ in range(60)}
+    for centre in list(values)[:4]:
+        at = centre
+        for _ in range(40):
+            at ^= 1 << random.randrange(64)
+            values.add(at)
+        for _ in range(60):
+            values.add(centre ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)))
+    bits = dict(enumerate(values))
+    rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, k) for k, v in bits.items()], "bits long, node long")
+    found = {r["node"]: r["component"] for r in components(simhash.link_fingerprints(rows, 3, shard_rows)).collect()}
+    assert {k: found.get(k, k) for k in bits} == brute_components(bits, 3)
+
+
+def test_bk_tree_finds_all_within():
+    random.seed(1)
+    base = random.getrandbits(64)
+    values = [base ^ sum(1 << random.randrange(64) for _ in range(random.randrange(6))) & (1 << 64) - 1 for _ in range(300)]
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for radius in (0, 1, 3, 5):
+        assert sorted(tree.within(base, radius)) == [k for k, v in enumerate(values) if (v ^ base).bit_count() <= radius]
+
+
+def test_simhash_odd_rows(spark):
+    got = simhash.near_duplicates(frame(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert {r["fingerprint"] for k in (1, 2, 3) for r in by[k]} == {"0" * 16} and {r["component_id"] for k in (1, 2, 3) for r in by[k]} == {1}
+    assert by[4][0]["fingerprint"] == by[5][0]["fingerprint"] and by[5][0]["component_id"] == 4
+    assert [r["component_id"] for r in by[6]] == [6, 6] and by[None][0]["component_id"] == 6
+    assert by[9][0]["component_id"] == 8
+    assert simhash.near_duplicates(frame(spark, [])).collect() == []
+
+
+def test_components_of_paths_and_hubs(spark):
+    pairs = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(7, 7), (900, 901), (901, 900)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: 100 for k in range(100, 161)} | {k: 500 for k in range(500, 560)} | {900: 900, 901: 900}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def exact_brute(rows):
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(t or "", []).append((-1 if i is None else i, i))
+    return {(i, max(groups[t or ""])[1], len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+
+
+def test_exact_groups(spark):
+    rows = [*ODD, (11, "one"), (12, "é" * 9000), (13, "é" * 9000), (14, "é" * 8999), (15, "😀 the end. And " * 3000), (16, "😀 the end. And " * 3000)]
+    got = exact_dedup.exact_groups(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got} == exact_brute(rows)
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == len({t or "" for _, t in rows}) and all(r["doc_id"] == r["keep_id"] for r in kept)
+    assert exact_dedup.exact_groups(frame(spark, [])).collect() == []
+
+
+def test_chunks_are_the_text_and_follow_the_content(spark):
+    random.seed(2)
+    words = ["the", "end", "a", "forest", "blue", "cat.", "rain", "also", "é", "dot,"]
+    long = " ".join(random.choice(words) for _ in range(20000))
+    texts = [long, "shifted " + long, long[:5000] + "X" + long[5000:], "z" * 50000, "short"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    from pyspark.sql import functions as F
+
+    got = {r["k"]: r["c"] for r in rows.select("k", exact_dedup.chunks(F.col("text")).alias("c")).collect()}
+    assert all("".join(got[k]) == t for k, t in enumerate(texts))
+    assert all(len(c) <= exact_dedup.HIGH + 4 for k in got for c in got[k])
+    for k in (1, 2):
+        assert len(set(got[0]) & set(got[k])) > 0.8 * len(got[0])
+
+
+def lines_brute(rows, min_words=10):
+    first, out = {}, []
+    for n, (i, t) in sorted(enumerate(rows), key=lambda x: (-1 if x[1][0] is None else x[1][0], x[0])):
+        at, removed, count = 0, [], 0
+        for line in (t or "").split("\n"):
+            words = tuple(line.lower().split())
+            if len(words) >= min_words:
+                count += 1
+                if words in first:
+                    removed.append((at, at + len(line)))
+                else:
+                    first[words] = (i, at)
+            at += len(line) + 1
+        out.append((i, len(t or ""), count, tuple(removed)))
+    return sorted(out, key=repr)
+
+
+def test_line_repeats(spark):
+    para = "This passage has quite a few words and it is said again elsewhere"
+    rows = [(1, f"{para}\nown words\n{para}"), (2, f"start\n  {para.upper()}  \nend"), (3, "é😀 " * 12 + "\n" + para), (4, None), (5, ""), (6, para), (6, para), (None, para), (8, "\n".join([para] * 3000)), (9, "w " * 200000)]
+    got = line_dedup.repeats(frame(spark, rows).coalesce(1)).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["n_units"], tuple((s["start"], s["end"]) for s in r["removed"])) for r in got), key=repr) == lines_brute(rows)
+    assert all(r["n_removed"] == len(r["removed"]) and r["chars_removed"] == sum(s["end"] - s["start"] for s in r["removed"]) for r in got)
+    assert line_dedup.repeats(frame(spark, [])).collect() == []
+
+
+def test_line_repeats_on_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = line_dedup.repeats(docs).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["n_units"], tuple((s["start"], s["end"]) for s in r["removed"])) for r in got), key=repr) == lines_brute(rows)
+
+
+def test_line_removal_gives_the_texts(spark):
+    para = "a b c d e f g h i j k"
+    docs = spark.createDataFrame([(1, f"{para}\nmine"), (2, f"top\n{para}\nlast"), (3, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.apply(docs, line_dedup.repeats(docs)).collect()}
+    assert out == {1: f"{para}\nmine", 2: "top\nlast", 3: None}
+    assert list(line_dedup.split_units("a b\n\nc d", "paragraph", 2))[1][:2] == (5, 8)
