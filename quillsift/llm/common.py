@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +38,16 @@ def settle(frame: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of rows that a Python worker gets at once, where the session leaves Spark's 64 MB: texts may be long, and a worker holds a few batches.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once an application; they need not have it installed."""
+    """Sends this package to the executors' Python workers, once an application; they need not have it installed. Keeps Arrow batches small."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, "1b") == "1b":  # the default given here is what an unset key answers with
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent.parent
@@ -51,6 +59,19 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker gives memory back to the system; workers are reused, and would keep a task's peak."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import settle, ship, tidy
 
 THRESHOLD = 0.3
 MIN_PAGES = 3
@@ -170,7 +170,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["host", "path", "style", "content"])
 
-    seen = pages.select("host", "html").mapInArrow(run, "host string, path string, style string, content long").groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"))
+    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path string, style string, content long").groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"))
     seen = settle(seen)
     entropy = lambda by: (
         seen.groupBy("host", "path", by).agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
@@ -197,4 +197,4 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = own.join(cut, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "cut")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import settle, ship, tidy
 
 #: Shorter units say too little to be called a repeat.
 MIN_WORDS = 10
@@ -46,7 +46,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
 
     ship(docs.sparkSession)
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "row long, doc_id long, n_chars long, units array<struct<start: int, end: int, high: long, low: long>>")
+    return own.mapInArrow(tidy(run), "row long, doc_id long, n_chars long, units array<struct<start: int, end: int, high: long, low: long>>")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:

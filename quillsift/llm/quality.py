@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 BITS = 17
 SAMPLE_ROWS = 4000
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # sample_rows ids bound what is broadcast
     met = rows.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "label", "text")
-    got = sorted(met.mapInArrow(marks, "doc_id long, label int, marks binary").collect(), key=lambda r: (r["doc_id"], bytes(r["marks"])))
+    got = sorted(met.mapInArrow(tidy(marks), "doc_id long, label int, marks binary").collect(), key=lambda r: (r["doc_id"], bytes(r["marks"])))
     return fit_rows([np.flatnonzero(np.unpackbits(np.frombuffer(r["marks"], np.uint8))) for r in got[: 2 * sample_rows]], np.array([r["label"] for r in got[: 2 * sample_rows]]))
 
 
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `score` double"
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.mapInArrow(tidy(run), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

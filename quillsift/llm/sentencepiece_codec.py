@@ -6,8 +6,8 @@ whose neighbours stay apart is the model's own encoding, so the surviving path i
 For a unigram model the edges carry scores and the best sum survives. Only a window bounded by the longest
 piece is kept: as soon as all surviving backpointer paths meet in one boundary, the ids before it are committed.
 
-Boundaries that no piece crosses (before a blank that follows another character, and around line feeds that are no piece) are
-such meeting points always; what lies between two of them is encoded once and remembered, up to MEMO entries a worker.
+Boundaries that no piece of the vocabulary crosses (before a blank that follows another character, around line feeds, between letters and
+other characters) are such meeting points always; what lies between two of them is encoded once and remembered: the last MEMO segments or more, 2 * MEMO at most, in each worker.
 
 Encoding is reversible for every text: characters without a piece go out as byte pieces, and so does a
 literal U+2581, which the library would turn into a blank.
@@ -16,6 +16,7 @@ literal U+2581, which the library would turn into a blank.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 #: Where the public model lies in this environment; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-MEMO = 300_000
+MEMO = 200_000
 
 
 @dataclass
@@ -127,9 +128,63 @@ class Encoder:
         self.v, self.longest = v, max(map(len, v.ids))
         self.starts = {p[:k] for p in v.ids for k in range(1, len(p) + 1)}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.apart: dict[tuple[str, str], bool] = {}
-        crossing = any(BLANK in p.lstrip(BLANK) for p in v.ids)
-        self.cut = re.compile(f"(?s).+" if crossing else f"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+" if "\n" not in self.starts else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        #: The id of each piece, -1 for what only begins one; and for each first piece what may follow it.
+        self.known = dict.fromkeys(self.starts, -1) | v.ids
+        self.names = {k: p for p, k in v.ids.items()}
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.cut = re.compile(self._boundaries())
+
+    def _boundaries(self) -> str:
+        """A pattern of segments between boundaries that no piece crosses, as far as this vocabulary has such boundaries."""
+        bodies = [p.lstrip(BLANK) for p in self.v.ids]
+        if any(BLANK in b for b in bodies):
+            return "(?s).+"
+        letter = re.compile(r"[^\W\d_]")
+        if any(len({bool(letter.match(c)) for c in b}) > 1 for b in bodies):
+            return f"{BLANK}*[^{BLANK}]+|{BLANK}+"
+        feed = "" if "\n" in self.starts else "\n"
+        other = rf"(?:(?![^\W\d_])[^{BLANK}{feed}])+"
+        return rf"{BLANK}*[^\W\d_]+|{BLANK}*{other}|{BLANK}+" + (r"|\n" if feed else "")
+
+    def _short(self, text: str) -> list[int]:
+        """viterbi() of a merge model for a text shorter than its window, without the bookkeeping of the window."""
+        n, known, follows = len(text), self.known, self.follows
+        back, edge = [-1] * (n + 1), [-1] * (n + 1)  # edge: id of the piece that ends here, -1 for none
+        back[0] = 0
+        for at in range(n):
+            if back[at] < 0:
+                continue
+            before, end = edge[at], at + 1
+            piece = known.get(text[at])
+            if piece is None or piece < 0:
+                if back[end] < 0:
+                    back[end], edge[end] = at, -1
+            may = follows.get(before)
+            if may is None:
+                may = follows[before] = {}
+            while piece is not None:
+                if piece >= 0 and back[end] < 0:
+                    ok = may.get(piece)
+                    if ok is None:
+                        ok = may[piece] = before < 0 or stay_apart(self.names[before], self.names[piece], self.v)
+                    if ok:
+                        back[end], edge[end] = at, piece
+                end += 1
+                if end > n:
+                    break
+                piece = known.get(text[at:end])
+        out: list[int] = []
+        while n:
+            start, piece = back[n], edge[n]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.v.byte_ids[x] for x in reversed(text[start:n].encode("utf-8", "surrogatepass"))]
+            n = start
+        out.reverse()
+        return out
 
     def viterbi(self, text: str) -> Iterator[int]:
         """The ids of an escaped text (blanks as U+2581), committed as paths converge."""
@@ -214,10 +269,15 @@ class Encoder:
             for segment in self.cut.findall(BLANK + part if not k and self.v.prefix else part):
                 ids = memo.get(segment)
                 if ids is None:
-                    ids = np.fromiter(self.viterbi(segment), np.int32).tobytes()
-                    if len(segment) <= 64:
+                    short = self.v.merges and len(segment) <= 4 * self.longest
+                    ids = self.older.get(segment)
+                    if ids is None:
+                        ids = array("i", self._short(segment) if short else self.viterbi(segment)).tobytes()
+                    if short:
                         if len(memo) >= MEMO:
-                            memo.clear()
+                            self.older, self.memo = memo, {}
+                            memo = self.memo
+                            self.follows.clear()
                         memo[segment] = ids
                 out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
@@ -259,7 +319,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 same = [own.decode(g) == (t or "") for g, t in zip(got, part)] if check else [None] * len(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), ids, pa.array(np.diff(ends)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_ids int, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, ids array<int>, n_ids int, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -273,4 +333,4 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             texts = [own.decode(np.array(x.as_py() or [], np.int32)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import settle, ship, tidy
 from .components import components
 
 SHARD_ROWS = 4096
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, bits long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, bits long")
 
 
 class BKTree:
@@ -169,7 +169,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_rows: int = SH
     for part in parts:
         rows = rows.union(part)
     dealt = rows.repartition("shard", "tile").sortWithinPartitions("shard", "tile", "bits")
-    return dealt.mapInArrow(_shard_links(radius), "a long, b long")
+    return dealt.mapInArrow(tidy(_shard_links(radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, seed: int = 42, shard_rows: int = SHARD_ROWS) -> DataFrame:
