@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 from dataclasses import replace
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cpu-count", action="store_true", help="show the number of cores and stop")
     p.add_argument("--list-datahandlers", action="store_true")
     p.add_argument("--list-filetypes", action="store_true")
+    p.add_argument("--mime", nargs="+", metavar="FILE", help="show the media type of files and stop")
     p.add_argument("-v", "--version", action="version", version=__version__)
     return p
 
@@ -43,6 +45,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.list_filetypes:
         print("\n".join([*selection.supported("ext"), *selection.supported("mime")]))
         return 0
+    if args.mime:
+        for name in args.mime:
+            print(f"{name}: {'Directory' if os.path.isdir(name) else selection.media_type_of(Path(name).read_bytes())}")
+        return 0
     chosen = config.load(None if args.default_conf else args.conf_file)
     for name in chosen.ignored:
         print(f"ignored: {name}")

@@ -42,8 +42,9 @@ def count_results(found: DataFrame) -> DataFrame:
 
 
 def totals(files: DataFrame, scanned: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of counters: files (path, length, dir) that were found and scanned, and their results."""
-    dirs = files.agg(F.countDistinct("dir").alias("dirs_found"), F.count("*").alias("files_found"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes_found"))
-    read = scanned.agg(F.countDistinct("dir").alias("dirs_scanned"), F.count("*").alias("files_scanned"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes_scanned"))
-    results = flat(found).agg(F.count("*").alias("total_results"))
-    return dirs.join(F.broadcast(read), how="inner", on=F.lit(True)).join(F.broadcast(results), how="inner", on=F.lit(True))
+    """One row of counters: files (dir, length) that were found and scanned, and their results; one aggregate over their union."""
+    rows = files.select(F.lit("found").alias("what"), "dir", "length").union(scanned.select(F.lit("scanned"), "dir", "length"))
+    rows = rows.union(flat(found).select(F.lit("result"), F.lit(None).cast("string"), F.lit(0).cast("long")))
+    of = lambda what: F.col("what") == what
+    files_of = lambda what: (F.countDistinct(F.when(of(what), F.col("dir"))).alias(f"dirs_{what}"), F.count_if(of(what)).alias(f"files_{what}"), F.coalesce(F.sum(F.when(of(what), F.col("length"))), F.lit(0)).alias(f"bytes_{what}"))
+    return rows.agg(*files_of("found"), *files_of("scanned"), F.count_if(of("result")).alias("total_results"))

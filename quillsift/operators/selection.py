@@ -23,6 +23,16 @@ HANDLERS: dict[str, dict[str, tuple[str, ...]]] = {
     },
 }
 BLANK_CELLS, BLANK_ROWS = 500, 250
+# How files of a type begin, and the folders inside Office archives.
+MAGIC = (
+    (b"%PDF-", "application/pdf"), (bytes.fromhex("D0CF11E0A1B11AE1"), "application/vnd.ms-excel"), (b"<?xml", "application/xml"),
+    (b"<!DOCTYPE", "text/html"), (b"<!doctype", "text/html"), (b"<html", "text/html"),
+)
+ARCHIVE = b"PK\x03\x04"
+PARTS = (
+    (b"word/", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    (b"xl/", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+)
 
 
 def supported(kind: str) -> list[str]:
@@ -59,12 +69,20 @@ def excluded(directory: Column, patterns: list[str], starts: list[str] = ()) ->
     return hit & ~F.coalesce(directory.isin(*starts), F.lit(False)) if starts else hit
 
 
-def media_type(head: Column) -> Column:
-    """Media type by the first bytes of a file; null if they say nothing. Office files are told apart by their extension later on."""
-    begins = lambda hexes: F.substring(F.hex(head), 1, len(hexes)) == hexes
-    return (
-        F.when(begins("255044462D"), "application/pdf")
-        .when(begins("D0CF11E0A1B11AE1"), "application/vnd.ms-excel")
-        .when(begins("3C3F786D6C"), "application/xml")
-        .when(begins("3C21444F4354595045") | begins("3C21646F6374797065") | begins("3C68746D6C"), "text/html")
-    )
+def media_type(content: Column) -> Column:
+    """Media type by the first bytes of a file, and for zip archives by the names in their directory at the end; null if they say nothing."""
+    head = F.hex(F.substring(content, 1, 16))
+    listed = F.hex(F.substring(content, -4096, 4096))
+    out = F.lit(None).cast("string")
+    for inside, mime in reversed(PARTS):
+        out = F.when(head.startswith(ARCHIVE.hex().upper()) & listed.contains(inside.hex().upper()), mime).otherwise(out)
+    for start, mime in reversed(MAGIC):
+        out = F.when(head.startswith(start.hex().upper()), mime).otherwise(out)
+    return out
+
+
+def media_type_of(raw: bytes) -> str | None:
+    """media_type() of bytes at hand."""
+    if (mime := next((m for start, m in MAGIC if raw.startswith(start)), None)) is not None:
+        return mime
+    return next((m for inside, m in PARTS if raw.startswith(ARCHIVE) and inside in raw[-4096:]), None)

@@ -65,7 +65,7 @@ def read_blocks(spark: SparkSession, config: ScanConfig) -> DataFrame:
     plain = F.regexp_replace("path", r"^file:(?://)?(?=/)", "")
     own = files.select("path", F.regexp_extract(plain, r"^(.*)/[^/]*$", 1).alias("dir"), suffix(F.col("path")).alias("ext"), "length", "content")
     kept = own if config.hidden else own.where(~selection.excluded(F.col("dir"), config.exclude_dirs, config.start_dirs))
-    typed = kept.withColumn("mime", selection.media_type(F.substring("content", 1, 16)))
+    typed = kept.withColumn("mime", selection.media_type(F.col("content")))
     chosen = select(typed, config).withColumn("handler", selection.handler(F.lower("ext") if config.ignore_case else F.col("ext"), F.col("mime")))
     return extract(chosen.select("path", "handler", "content"))
 

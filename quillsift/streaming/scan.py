@@ -16,7 +16,7 @@ from ..sources.files import extract, select
 def stream_findings(spark: SparkSession, config: ScanConfig) -> DataFrame:
     """Findings of files as they arrive; the state is the list of files seen, kept by the file source."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(config.start_dirs[0])
-    typed = raw.select("path", suffix(F.col("path")).alias("ext"), "length", "content").withColumn("mime", selection.media_type(F.substring("content", 1, 16)))
+    typed = raw.select("path", suffix(F.col("path")).alias("ext"), "length", "content").withColumn("mime", selection.media_type(F.col("content")))
     chosen = select(typed, config).withColumn("handler", selection.handler(F.lower("ext") if config.ignore_case else F.col("ext"), F.col("mime")))
     return results.findings(extract(chosen.select("path", "handler", "content")), config.detectors, config.mode, config.lookaround)
 

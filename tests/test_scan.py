@@ -140,6 +140,9 @@ def test_selection(spark):
     rows = spark.createDataFrame([(".docx", None), (".txt", "application/pdf"), (".TXT", None), ("", "text/plain"), (".x", "image/png")], "ext string, mime string")
     got = rows.select(selection.handler(F.col("ext"), F.col("mime")).alias("h"), selection.file_matches(F.col("ext"), F.col("mime")).alias("m")).collect()
     assert [(r["h"], r["m"]) for r in got] == [("docx", True), ("pdf", True), (None, False), ("plaintext", True), (None, False)]
+    heads = [b"%PDF-1.7", b"<?xml?>", docx(), xlsx(), b"PK\x03\x04plain", b"", bytes.fromhex("D0CF11E0A1B11AE100")]
+    kinds = spark.createDataFrame([(k, bytearray(h)) for k, h in enumerate(heads)], "k int, raw binary").select("k", selection.media_type(F.col("raw")).alias("m")).orderBy("k").collect()
+    assert [r["m"] for r in kinds] == [selection.media_type_of(h) for h in heads] and kinds[2]["m"].endswith("document") and kinds[4]["m"] is None
     dirs = spark.createDataFrame([("/dev",), ("/Development/x",), ("/usr/src",), ("/usr/src/y",), ("/home",)], "d string")
     kept = dirs.where(~selection.excluded(F.col("d"), ["/dev", "/usr/src/"], ["/dev"])).collect()
     assert [r["d"] for r in kept] == ["/dev", "/usr/src", "/home"]
@@ -169,8 +172,10 @@ def test_config(tmp_path):
 def test_command_line(tmp_path, capsys):
     assert cli.main(["-c", str(tmp_path / "c.toml")]) == 0 and Path(tmp_path / "c.toml").exists()
     assert cli.main(["--list-datahandlers"]) == 0 and cli.main(["--list-filetypes"]) == 0 and cli.main(["--cpu-count"]) == 0
+    (tmp_path / "x.bin").write_bytes(docx())
+    assert cli.main(["--mime", str(tmp_path), str(tmp_path / "x.bin")]) == 0
     said = capsys.readouterr().out
-    assert "pan" in said and ".docx" in said
+    assert "pan" in said and ".docx" in said and "Directory" in said and "wordprocessingml" in said
 
 
 def test_files_listing(spark, tree):
