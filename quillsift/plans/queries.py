@@ -237,9 +237,11 @@ SELECT count(DISTINCT coalesce(source, '')) AS dirs_found, count(*) AS files_fou
     "file_matches": _with(_PATHS_SQL) + "SELECT page_id, ext IN ('.txt', '.docx') OR coalesce(mime IN ('application/pdf'), false) AS matched FROM suffixed WHERE length > 0",
     "exclude_dirs": _with(_PATHS_SQL) + "SELECT page_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM paths WHERE NOT (starts_with(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '/www.') OR starts_with(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '/blog.t') OR starts_with(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '/m.th*'))",
     "size_format": "SELECT doc_id, CASE " + " ".join(f"WHEN v / {1024.0**k} < 1024 THEN printf('%.1f{u}B', v / {1024.0**k})" for u, k in _POWERS) + " END AS size FROM (SELECT doc_id, (n_chars * n_chars * 37)::DOUBLE AS v FROM documents)",
-    "chunked": f"""WITH parts AS (SELECT doc_id, regexp_extract_all({_clean('text')}, '[^ ].{{648,}}?(?: |$)|[^ ].*$') AS found FROM documents),
-chunks AS (SELECT doc_id, unnest(range(len(found)))::INT AS pos, trim(unnest(found)) AS chunk FROM parts)
-SELECT doc_id, pos, length(chunk)::INT AS n_chars, md5(chunk) AS chunk_md5 FROM chunks""",
+    "chunked": f"""WITH RECURSIVE cut AS (
+    SELECT doc_id, -1 AS pos, '' AS chunk, {_clean('text')} AS rest FROM documents
+    UNION ALL SELECT doc_id, pos + 1, substr(rest, 1, n), substr(rest, n + 2) FROM (
+        SELECT doc_id, pos, rest, CASE WHEN strpos(substr(rest, 650), ' ') > 0 THEN 648 + strpos(substr(rest, 650), ' ') ELSE length(rest) END AS n FROM cut WHERE rest <> ''))
+SELECT doc_id, pos::INT AS pos, length(chunk)::INT AS n_chars, md5(chunk) AS chunk_md5 FROM cut WHERE pos >= 0""",
     "blank_limits": """WITH cells AS (SELECT l_orderkey AS sheet, l_linenumber::BIGINT AS row, k::INT AS col,
     CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN '' WHEN (l_orderkey + l_linenumber * 3 + k) % 4 < 2 THEN l_quantity::INT::VARCHAR ELSE '' END AS value
     FROM lineitem, range(1, 11) t(k)),
