@@ -32,7 +32,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeats(table(spark, sf_dir, "documents"))
+    found = line_dedup.repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_chars", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"), "chars_removed", spans.alias("removed"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,14 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, co
     doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
     "op3_source_mixing": "WITH " + _MIX.format(docs="documents") + "SELECT doc_id, size, source_size, target, (passes * size + partly)::BIGINT AS taken FROM mixed",
+    "op6_line_dedup": r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
+placed AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1)::BIGINT AS start, regexp_extract_all(lower(line), '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS words FROM lines),
+ranked AS (SELECT doc_id, start, start + length(line) AS stop, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) AS rank FROM placed WHERE len(words) >= 10),
+summed AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (rank > 1) AS n_removed, coalesce(sum(stop - start) FILTER (rank > 1), 0)::BIGINT AS chars_removed,
+    coalesce(string_agg(start::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY start) FILTER (rank > 1), '') AS removed FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, length(coalesce(text, '')) AS n_chars, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0) AS chars_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN summed s USING (doc_id)""",
     "op8_chat_format": r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
