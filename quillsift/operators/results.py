@@ -14,8 +14,8 @@ FLAT = ["filename", "datatype", "key", "value"]
 def findings(blocks: DataFrame, detectors: list[str] | None = None, mode: str = "distinct", lookaround: bool = False) -> DataFrame:
     """(filename, block, datatype, key, value) of every block (filename, block, content); distinct inside a block, no shuffle."""
     clean = blocks.select("filename", "block", normalize(F.col("content")).alias("content"))
-    hits = clean.select("filename", "block", detect(F.col("content"), detectors, mode, lookaround).alias("hits")).where(F.size("hits") > 0)
-    return hits.select("filename", "block", F.inline("hits"))
+    # the expression is the generator's own input: as a column of its own, Catalyst would infer a filter on it and work it out twice
+    return clean.select("filename", "block", F.inline(detect(F.col("content"), detectors, mode, lookaround)))
 
 
 def flat(found: DataFrame) -> DataFrame:
