@@ -31,12 +31,12 @@ def make_chunks(text: Column, size: int = CHUNK_SIZE) -> Column:
 
 
 def sizeof_fmt(num: Column, suffix: str = "B") -> Column:
-    """1024-based size with one decimal."""
+    """1024-based size with one decimal; halves go to the even digit."""
     value = num.cast("double")
-    out = F.format_string(f"%.1f{SIZE_UNITS[-1]}{suffix}", value / 1024.0 ** (len(SIZE_UNITS) - 1))
+    out = F.format_string(f"%.1f{SIZE_UNITS[-1]}{suffix}", F.bround(value / 1024.0 ** (len(SIZE_UNITS) - 1), 1))
     for power in range(len(SIZE_UNITS) - 2, -1, -1):
         scaled = value / 1024.0**power
-        out = F.when(F.abs(scaled) < 1024.0, F.format_string(f"%.1f{SIZE_UNITS[power]}{suffix}", scaled)).otherwise(out)
+        out = F.when(F.abs(scaled) < 1024.0, F.format_string(f"%.1f{SIZE_UNITS[power]}{suffix}", F.bround(scaled, 1))).otherwise(out)
     return F.when(num.isNotNull(), out)
 
 
