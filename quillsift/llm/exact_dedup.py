@@ -47,7 +47,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = parts.join(named, ["hash", "digest"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "hash", "rank"))).alias("ids"))
     lists = ids.select("row", F.transform("ids", lambda x: F.struct(x["hash"].alias("hash"), x["rank"].alias("rank"))).alias("ids"))
     own = settle(made.select("row", "doc_id", "text_sha256").join(lists, "row"))
-    groups = own.groupBy("ids").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
+    # written out, so that the join below is one of two plain tables, whose hot lists can be split between tasks
+    groups = settle(own.groupBy("ids").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")))
     return own.join(groups, "ids").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
     )
