@@ -1,7 +1,4 @@
-"""Readers from bytes to blocks of text. A reader takes the bytes of one file and yields texts; errors are the caller's business.
-
-PDF and old Excel files need libraries that may be missing; then the file is reported with an error and has no blocks.
-"""
+"""Readers from bytes to blocks of text. A reader takes the bytes of one file and yields texts; errors are the caller's business."""
 
 from __future__ import annotations
 
@@ -11,6 +8,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 from ..operators.selection import BLANK_CELLS, BLANK_ROWS
+from . import pdf, xls
 from .encoding import decode
 
 Reader = Callable[[bytes], Iterator[str]]
@@ -109,25 +107,21 @@ def read_xlsx(raw: bytes) -> Iterator[str]:
 
 
 def read_xls(raw: bytes) -> Iterator[str]:
-    """A block for each sheet; whole numbers without their decimal point."""
-    import xlrd
-
-    book = xlrd.open_workbook(file_contents=raw)
-    for sheet in book.sheets():
-        said = lambda v: str(v)[:-2] if isinstance(v, float) and str(v).endswith(".0") else "" if v is None else str(v)
-        if text := sheet_text([said(sheet.cell_value(r, c)) for c in range(sheet.ncols)] for r in range(sheet.nrows)):
+    """A block for each sheet that has text; whole numbers without their decimal point, dates as their serial numbers."""
+    said = lambda v: str(v)[:-2] if isinstance(v, float) and str(v).endswith(".0") else str(v)
+    for _, cells in xls.sheets(raw):
+        rows = ([said(cells[r].get(c, "")) for c in range(max(cells[r]) + 1)] if cells.get(r) else [] for r in range(max(cells, default=-1) + 1))
+        if text := sheet_text(rows):
             yield text
 
 
 def read_pdf(raw: bytes) -> Iterator[str]:
-    """A block for each page, then the metadata's values."""
-    import pypdf
-
-    book = pypdf.PdfReader(io.BytesIO(raw))
-    for page in book.pages:
-        if text := page.extract_text():
+    """A block for each page that has text, then the metadata's values."""
+    book = pdf.Document(raw)
+    for page in book.pages():
+        if text := pdf.page_text(book, page):
             yield text
-    if book.metadata and (text := "\n".join(map(str, book.metadata.values()))):
+    if text := "\n".join(book.info()):
         yield text
 
 
