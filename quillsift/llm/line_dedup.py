@@ -78,5 +78,14 @@ def without(text: str, removed: list[tuple[int, int]]) -> str:
 
 def apply(docs: DataFrame, found: DataFrame) -> DataFrame:
     """`docs` (unique doc_id) with their texts cut by `found`, the result of repeats(); texts of documents without removals are as they were."""
-    cut = F.udf(lambda text, spans: without(text, [(s["start"], s["end"]) for s in spans]) if text and spans else text, "string")
-    return docs.join(found.where("n_removed > 0").select("doc_id", "removed"), "doc_id", "left").withColumn("text", cut("text", "removed")).drop("removed")
+    ship(docs.sparkSession)
+    columns = docs.columns
+    met = docs.join(found.where("n_removed > 0").select("doc_id", F.col("removed").alias("__removed")), "doc_id", "left").select(*columns, "__removed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "__removed"))
+            cut = [without(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) if s.is_valid and t.is_valid else t.as_py() for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()) if c == "text" else batch.column(k) for k, c in enumerate(columns)], names=columns)
+
+    return met.mapInArrow(tidy(run), docs.schema)
