@@ -20,6 +20,19 @@ def write_json(found: DataFrame, path: str) -> None:
     results.nested(found).write.mode("overwrite").json(path)
 
 
+def write_json_array(found: DataFrame, path: str) -> None:
+    """One JSON array over the part files in their order: sorted by filename, an object a line, so that no task holds the whole."""
+    rows = results.nested(found)
+    ends = rows.agg(F.min("filename").alias("first"), F.max("filename").alias("last")).first()
+    if ends["first"] is None:
+        text = found.sparkSession.createDataFrame([("[]",)], "value string")
+    else:
+        opened = F.when(F.col("filename") == ends["first"], "[\n").otherwise("")
+        closed = F.when(F.col("filename") == ends["last"], "\n]").otherwise(",")
+        text = rows.orderBy("filename").select(F.concat(opened, F.to_json(F.struct("filename", "matches")), closed).alias("value"))
+    text.write.mode("overwrite").text(path)
+
+
 def _quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
 
@@ -36,7 +49,7 @@ def write_text(found: DataFrame, path: str) -> None:
     results.nested(found).select(yaml_document(F.col("filename"), F.col("matches")).alias("value")).write.mode("overwrite").text(path)
 
 
-WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"csv": write_csv, "json": write_json, "text": write_text}
+WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"csv": write_csv, "json": write_json, "json_array": write_json_array, "text": write_text}
 
 
 def fan_out(found: DataFrame, targets: dict[str, str]) -> None:

@@ -109,6 +109,14 @@ def test_sinks(spark, tree, tmp_path):
     assert "matches:\n    Email Address:\n        email:\n        - '*@b.co'\n" in text and text.count("---\n") == len(rows)
 
 
+def test_json_array(spark, tree, tmp_path):
+    found = scan.findings(spark, conf(tree))
+    for frame, n in ((found, len({w[0] for w in WANT})), (found.limit(0), 0)):
+        writers.write_json_array(frame, str(tmp_path / "array"))
+        parts = sorted((tmp_path / "array").glob("part-*.txt"))
+        assert len(json.loads("".join(p.read_text() for p in parts))) == n
+
+
 def test_stream_matches_batch(spark, tree, tmp_path):
     one = ScanConfig(start_dirs=[str(tree)], results={"json": str(tmp_path / "out")})
     streaming.run(spark, one, str(tmp_path / "state")).awaitTermination(120)
