@@ -22,17 +22,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, of the document with the largest id; a row that is there twice is kept once."""
-    groups = exact_dedup.exact_groups(docs)
-    own = settle(groups.select("doc_id", "keep_id", "text_sha256"))
-    dropped = settle(own.where("NOT (doc_id <=> keep_id)").select("doc_id", "text_sha256"))
-    twice = settle(own.where("doc_id <=> keep_id").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    rows = docs.select(*COLUMNS, sha256_hex(text_or_empty()).alias("text_sha256"))
-    at = lambda keys: rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["text_sha256"] == keys["text_sha256"])
-    kept = rows.join(dropped, at(dropped), "left_anti")
-    if twice.head(1):  # only the rows that are there twice are moved
-        again = rows.join(twice, at(twice), "left_semi").dropDuplicates(["doc_id", "text_sha256"])
-        kept = kept.join(twice, at(twice), "left_anti").union(again)
-    return kept.select(*COLUMNS)
+    own = settle(exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "text_sha256"))
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    shared = settle(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    dropped = own.where(~best).select("doc_id")
+    at = lambda keys: docs["doc_id"].eqNullSafe(keys["doc_id"])
+    if not shared.head(1):
+        keys = settle(dropped)
+        return docs.join(keys, at(keys), "left_anti").select(*COLUMNS)
+    # ids that several rows have are decided by their texts; only these rows are moved
+    keys = settle(dropped.union(shared).distinct())
+    once = docs.join(keys, at(keys), "left_anti").select(*COLUMNS)
+    rows = docs.join(shared, at(shared), "left_semi").select(*COLUMNS, sha256_hex(text_or_empty()).alias("text_sha256"))
+    kept = settle(own.where(best).select("doc_id", "text_sha256").distinct())
+    again = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_sha256"] == kept["text_sha256"]), "left_semi")
+    return once.union(again.dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

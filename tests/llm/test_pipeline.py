@@ -75,12 +75,14 @@ def test_last_stage_and_run(spark, stages):
 
 
 def test_repeated_rows_and_null_ids(spark):
-    rows = [(1, "same text", "en", "a", 9), (1, "same text", "en", "a", 9), (2, "same text", "en", "a", 9), (2, "same text", "en", "a", 9), (None, "no id", "en", None, 5), (3, None, None, None, None), (4, "", "en", "b", 0)]
+    rows = [(1, "same text", "en", "a", 9), (1, "same text", "en", "a", 9), (2, "same text", "en", "a", 9), (2, "same text", "en", "a", 9), (None, "no id", "en", None, 5), (3, None, None, None, None), (4, "", "en", "b", 0), (5, "same text", "en", "a", 9), (5, "other", "en", "a", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     once = corpus_pipeline.drop_copies(spark, docs, SF)
-    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in once.collect()) == [(0, "no id"), (2, "same text"), (4, "")]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in once.collect()) == [(0, "no id"), (4, ""), (5, "other"), (5, "same text")]
     near = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert {r["doc_id"] for r in near.collect()} == {1, 3, None}
+    unique = docs.where("doc_id IN (1, 3, 4)").distinct()
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, unique, SF).collect()) == [1, 4]
     mixed = corpus_pipeline.mix(spark, docs, SF).collect()
     assert mixed and max(sum(r["doc_id"] == k for r in mixed) for k in (1, 2, None)) <= 6
     for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix, corpus_pipeline.token_ids):
