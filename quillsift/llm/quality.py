@@ -6,11 +6,12 @@ dual coordinate descent; the weights are drawn towards their mean magnitude as n
 The score is a logistic curve of the margin, fitted on the same rows.
 
 Fitting takes `sample_rows` labelled rows at most (those with the least hash of the id): each is sent to the
-driver as a bitmap of 2**BITS / 8 bytes whatever its length, so 4000 rows are 64 MB at most.
+driver as a packed bitmap, of 2**BITS / 8 bytes before packing whatever its length, so 4000 rows are 64 MB at most.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,16 +59,17 @@ def indicators(text: str | None, flags: np.ndarray) -> np.ndarray:
 def descend(rows: list[np.ndarray], values: np.ndarray, signs: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear hinge loss by dual coordinate descent; row k has values[rows[k]] / sqrt(len)."""
     rng, w, b = np.random.default_rng(seed), np.zeros(len(values)), 0.0
-    inputs = [values[r] / max(1.0, np.sqrt(len(r))) for r in rows]
-    square = [float(x @ x) + 1.0 for x in inputs]
+    length = [max(1.0, float(np.sqrt(len(r)))) for r in rows]
+    square = [float(values[r] @ values[r]) / n**2 + 1.0 for r, n in zip(rows, length)]
     dual = np.zeros(len(rows))
     for _ in range(rounds):
         for k in rng.permutation(len(rows)):
-            slack = signs[k] * (w[rows[k]] @ inputs[k] + b) - 1.0
+            own = values[rows[k]] / length[k]
+            slack = signs[k] * (w[rows[k]] @ own + b) - 1.0
             new = min(max(dual[k] - slack / square[k], 0.0), cost)
             if new != dual[k]:
                 step = (new - dual[k]) * signs[k]
-                w[rows[k]] += step * inputs[k]
+                w[rows[k]] += step * own
                 b += step
                 dual[k] = new
     return w, b
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
             for text in batch.column(2):
                 ids = indicators(text.as_py(), flags)
                 flags[ids] = True
-                found.append(np.packbits(flags).tobytes())
+                found.append(zlib.compress(np.packbits(flags).tobytes(), 1))
                 flags[ids] = False
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "marks"])
 
@@ -135,7 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
     # sample_rows ids bound what is broadcast
     met = rows.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "label", "text")
     got = sorted(met.mapInArrow(tidy(marks), "doc_id long, label int, marks binary").collect(), key=lambda r: (r["doc_id"], bytes(r["marks"])))
-    return fit_rows([np.flatnonzero(np.unpackbits(np.frombuffer(r["marks"], np.uint8))) for r in got[: 2 * sample_rows]], np.array([r["label"] for r in got[: 2 * sample_rows]]))
+    got = got[: 2 * sample_rows]  # an id may have several rows
+    unpacked = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(r["marks"]), np.uint8))) for r in got]
+    return fit_rows(unpacked, np.array([r["label"] for r in got]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
