@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, whole: bool = False) -> DataFrame:
-    """One row for each row of `docs`: doc_id, source, size, source_size, target, taken, start, passes.
+    """One row for each row of `docs`: row, doc_id, source, size, source_size, target, taken, start, passes.
 
     taken is the number of words the mix takes of the document, over all copies. Each source's taken words are its
     target's whole words: full passes over the source, then documents in hash order until the target, the last of
@@ -65,20 +65,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     inside = Window.partitionBy("source", "bin").orderBy("deal", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     met = placed.alias("p").join(known.alias("k"), F.col("p.source").eqNullSafe(F.col("k.source")) & (F.col("p.bin") == F.col("k.bin")))
-    row = met.select("doc_id", "p.source", "size", "source_size", "target", (F.col("base") + F.col("inner")).alias("start"))
+    row = met.select("row", "doc_id", "p.source", "size", "source_size", "target", (F.col("base") + F.col("inner")).alias("start"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
     partly = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
     if whole:
         partly = F.when(2 * partly > F.col("size"), F.col("size")).otherwise(0)
     return row.withColumn("passes", passes).withColumn("taken", F.col("passes") * F.col("size") + partly).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "start", "passes"
+        "row", "doc_id", "source", "size", "source_size", "target", "taken", "start", "passes"
     )
 
 
 def slope(source: Column) -> Column:
     """A source's slope in the curriculum, in [-1, 1] and fixed by its name: below 0 it is drawn early, above 0 late."""
-    return (F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(2001)) - 1000) / 1000.0
+    digits = F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 4)
+    return (F.conv(digits, 16, 10).cast("long") % 2001 - 1000) / 1000.0
 
 
 def position(done: Column, target: Column, tilt: Column) -> Column:
@@ -98,3 +99,16 @@ def curriculum(planned: DataFrame, tilt: Column | None = None) -> DataFrame:
     done = F.col("copy") * F.col("source_size") + F.col("start") + words / 2
     placed = copies.withColumn("copy_words", words).withColumn("position", position(done, F.col("target"), tilt))
     return placed.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The curriculum told by document: one row for each row of `docs`, range-sorted by the position of its first copy (documents that aren't taken last).
+
+    doc_id, size, source_size, target, taken (the words of all its copies in the training order), first_position (null if not taken). What
+    plan() says of nulls, repeated rows and empty tables holds.
+    """
+    planned = settle(plan(docs, id_col, text_col, source_col, weights, most))
+    order = curriculum(planned).groupBy("row").agg(F.sum("copy_words").alias("words"), F.min("position").alias("first_position"))
+    told = planned.join(order, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0).cast("long")).alias("taken"), "first_position")
+    last = F.coalesce("first_position", F.lit(2.0))
+    return told.repartitionByRange(last, "doc_id").sortWithinPartitions(last, "doc_id")

@@ -18,7 +18,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("first_position", F.round("first_position", 6))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,11 @@ ORACLES = {
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
     doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
-    "op3_source_mixing": "WITH " + _MIX.format(docs="documents") + "SELECT doc_id, size, source_size, target, (passes * size + partly)::BIGINT AS taken FROM mixed",
+    "op3_source_mixing": "WITH " + _MIX.format(docs="documents") + r""",
+tilted AS (SELECT *, (passes * size + partly)::BIGINT AS taken, (('0x' || substr(md5(coalesce(source, '')), 1, 4))::INT % 2001 - 1000) / 1000.0::DOUBLE AS tilt FROM mixed),
+shared AS (SELECT *, CASE WHEN target > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (start + least(size, taken) / 2) / target)) ELSE 0 END AS share FROM tilted),
+rooted AS (SELECT *, 1.0::DOUBLE - tilt AS line, sqrt(greatest(0.0::DOUBLE, (1.0::DOUBLE - tilt) * (1.0::DOUBLE - tilt) + 4 * tilt * share)) AS root FROM shared)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE WHEN share > 0 THEN 2 * share / (line + root) ELSE 0 END, 6) END AS first_position FROM rooted""",
     "op6_line_dedup": r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
 placed AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1)::BIGINT AS start, regexp_extract_all(lower(line), '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS words FROM lines),

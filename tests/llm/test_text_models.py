@@ -56,7 +56,11 @@ def test_mixing_odd_sources(spark):
         sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
     want = targets_brute(sizes)
     assert all(r["target"] == pytest.approx(want[r["source"]]) and r["taken"] <= 3 * r["size"] for r in got)
-    assert mixing.plan(docs.limit(0)).collect() == []
+    assert mixing.plan(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
+    told = mixing.mix(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["taken"]) for r in told) == sorted((r["doc_id"] or 0, r["taken"]) for r in got)
+    at = [2.0 if r["first_position"] is None else r["first_position"] for r in told]
+    assert at == sorted(at) and all((r["first_position"] is None) == (r["taken"] == 0) for r in told)
     whole = mixing.plan(docs, whole=True).collect()
     assert all(r["taken"] % r["size"] == 0 for r in whole if r["size"])
 
