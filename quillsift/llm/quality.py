@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5). Only the text is read; null counts as empty."""
+    """`docs` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5). Only the text is read; null counts as empty. Columns of these two names are replaced."""
+    docs = docs.drop("score", "predicted")
     ship(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.offset))

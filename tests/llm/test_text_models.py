@@ -115,6 +115,8 @@ def test_quality_odd_rows(spark):
         got = quality.quality(docs, known).collect()
         assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
     assert quality.quality(docs.limit(0), labels).collect() == []
+    scored = quality.score(docs, quality.fit(docs, labels))
+    assert scored.columns == ["doc_id", "text", "source", "score", "predicted"] and scored.count() == 6
     flags = np.zeros(1 << quality.BITS, bool)
     text = "abcdefgh" * 400_000
     assert len(quality.indicators(text, flags)) == len(quality.indicators("abcdefgh" * 10, flags)) and not flags.any()
