@@ -19,6 +19,10 @@ def register(name: str, datatype: str, find: Detector) -> None:
     _DETECTORS[name] = (datatype, find)
 
 
+def unregister(name: str) -> None:
+    _DETECTORS.pop(name, None)
+
+
 def supported() -> list[str]:
     return list(_DETECTORS)
 

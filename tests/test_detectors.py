@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsift.functions import email, pan
-from quillsift.functions.registry import detect, register, supported
+from quillsift.functions.registry import detect, register, supported, unregister
 from quillsift.functions.text import make_chunks, normalize, sizeof_fmt, suffix
 
 PANS = [
@@ -143,4 +143,6 @@ def test_registry(spark):
     register("shout", "Shouting", lambda text, mode, lookaround: F.transform(F.regexp_extract_all(text, F.lit("[A-Z]{5,}"), F.lit(0)), lambda m: F.struct(F.lit("word").alias("key"), m.alias("value"))))
     got = _rows(spark, ["HELLO to a@b.co"], lambda c: detect(c, ["email", "shout"]))[0]
     assert "shout" in supported()
+    unregister("shout")
+    assert "shout" not in supported()
     assert [(m["datatype"], m["key"], m["value"]) for m in got] == [("Email Address", "email", "*@b.co"), ("Shouting", "word", "HELLO")]
