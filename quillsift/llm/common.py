@@ -37,6 +37,14 @@ def settle(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def clear_settled(spark: SparkSession) -> int:
+    """Deletes what settle() has written for this application; to be called when no result that reads it is needed any more. How many tables went."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("settled-")]
+    return sum(bool(store.delete(path, True)) for path in found)
+
+
 _SHIPPED: set[str] = set()
 #: Bytes of rows that a Python worker gets at once, where the session leaves Spark's 64 MB: texts may be long, and a worker holds a few batches.
 BATCH_BYTES = 4 << 20
