@@ -30,7 +30,7 @@ from .common import ship, tidy
 #: Where the public model lies in this environment; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-MEMO = 500_000
+MEMO = 250_000
 
 
 @dataclass
