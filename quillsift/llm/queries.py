@@ -31,12 +31,20 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_ids", F.sha2(ids, 256).alias("ids_sha256"), "round_trip")
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.repeats(table(spark, sf_dir, "documents"))
+def _told_lines(found: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "n_chars", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"), "chars_removed", spans.alias("removed"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told_lines(line_dedup.repeats(table(spark, sf_dir, "documents")))
+
+
+def op6_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of any length, so that repeated passages of short lines go too."""
+    return _told_lines(line_dedup.repeats(table(spark, sf_dir, "documents"), min_words=1))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark))))
 
@@ -59,7 +67,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_exact_dedup, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_chat_format, op9_imatch, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_exact_dedup, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op6_every_line, op7_secret_scan, op8_chat_format, op9_imatch, op10_html_text)}
 
 #: Words of documents, shared by the SQL of the mixing query and of the pipeline.
 _MIX = """
@@ -105,3 +113,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + len(regexp_extract_all(role, '<\\*\|')))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id""",
 }
+#: As the ten-word query, with every line that has a word.
+ORACLES["op6_every_line"] = ORACLES["op6_line_dedup"].replace("len(words) >= 10", "len(words) >= 1")

@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from quillsift.llm import exact_dedup, line_dedup, simhash
+from quillsift.llm import exact_dedup, line_dedup, queries, simhash
 from quillsift.llm.components import components
 
 SCHEMA = "doc_id long, text string, keep_id string, row int, bits string, source string"
@@ -163,6 +163,25 @@ def test_line_repeats_on_the_table(spark):
     assert sorted(((r["doc_id"], r["n_chars"], r["n_units"], tuple((s["start"], s["end"]) for s in r["removed"])) for r in got), key=repr) == lines_brute(rows)
 
 
+def test_repeated_passages_of_short_lines(spark):
+    verse = "\n".join(f"line {k} of the verse" for k in range(12))
+    docs = spark.createDataFrame([(1, f"mine\n{verse}"), (2, f"{verse}\n\nyours")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.apply(docs, line_dedup.repeats(docs, min_words=1)).collect()}
+    assert out == {1: f"mine\n{verse}", 2: "\nyours"}
+
+
+def test_every_line_on_the_table(spark):
+    import duckdb
+
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sql.execute(queries.ORACLES["op6_every_line"]).fetchall()
+    got = [tuple(r) for r in queries.op6_every_line(spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    assert sorted((i, n, u, len(s)) for i, n, u, s in lines_brute(rows, 1)) == sorted(r[:4] for r in got)
+
+
 def test_line_removal_gives_the_texts(spark):
     para = "a b c d e f g h i j k"
     docs = spark.createDataFrame([(1, f"{para}\nmine"), (2, f"top\n{para}\nlast"), (3, None)], "doc_id long, text string")
