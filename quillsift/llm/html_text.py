@@ -6,7 +6,10 @@ of its styles (p) and contents (c): what looks and reads alike on all pages has
 themselves what they are (nav, footer, aside, forms, class names of adverts and comments: 0; article and main: 1) keep that, as one
 page of a host shows no entropy, a host's adverts differ from page to page, and copies of one article don't. Low nodes are cut from each page.
 
-The tree moves as counts, not as pages: (host, path, style, content) is pre-aggregated, so a host with a third of the pages is many
+Inside an article or main node the tree decides as well; there a container counts once for each distinct text of that node,
+so that copies of one article, which repeat all of it, say nothing about its parts.
+
+The tree moves as counts, not as pages: (host, path, style, content, article) is pre-aggregated, so a host with a third of the pages is many
 partial counts. The paths to cut are written out, and only they are joined to the pages.
 """
 
@@ -101,23 +104,24 @@ def _flat(node: Node) -> str:
     return "".join(out)
 
 
-def branches(root: Node) -> Iterator[tuple[str, str, int]]:
-    """(path, style, content's hash) of the containers down to DEPTH that no prior decides above."""
-    todo = [root]
+def branches(root: Node) -> Iterator[tuple[str, str, int, int | None]]:
+    """(path, style, content's hash, enclosing article's hash or None) of the containers down to DEPTH that no prior of 0 decides above."""
+    told = lambda node: xxhash.xxh64_intdigest(" ".join(_flat(node).split()).encode("utf-8", "surrogatepass")) - (1 << 63)
+    todo: list[tuple[Node, int | None]] = [(root, None)]
     while todo:
-        node = todo.pop()
+        node, main = todo.pop()
         for c in node.children:
             if isinstance(c, Node):
                 if c.tag in _CONTAINERS and c.tag != "body" and c.depth <= DEPTH:
                     seen = [x.tag for x in c.children if isinstance(x, Node)]
                     style = ",".join(t for k, t in enumerate(seen) if not k or seen[k - 1] != t)
-                    yield c.path, style, xxhash.xxh64_intdigest(" ".join(_flat(c).split()).encode("utf-8", "surrogatepass")) - (1 << 63)
-                if c.prior is None:
-                    todo.append(c)
+                    yield c.path, style, told(c), main
+                if c.prior != 0.0:
+                    todo.append((c, told(c) if c.prior == 1.0 and main is None else main))
 
 
 def blocks(root: Node, cut: frozenset[str]) -> list[str]:
-    """The blocks of text that are left, in page order. Where a page has an article or main part, only that counts."""
+    """The blocks of text that are left, in page order. Where a page has an article or main part, only that counts, without the containers in it that the tree cuts."""
     mains: list[Node] = []
     todo = [root]
     while todo:
@@ -167,11 +171,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(h.as_py(), *b) for h, p in zip(batch.column(0), batch.column(1)) for b in dict.fromkeys(branches(parse(p.as_py() or "")))]
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["host", "path", "style", "content"])
+            cols = list(zip(*rows)) or [(), (), (), (), ()]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["host", "path", "style", "content", "main"])
 
-    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, path string, style string, content long").groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"))
-    seen = settle(seen)
+    shown = pages.select("host", "html").mapInArrow(tidy(run), "host string, path string, style string, content long, main long").groupBy("host", "path", "style", "content", "main").agg(F.count("*").alias("n"))
+    seen = settle(shown.groupBy("host", "path", "style", "content").agg(F.sum(F.when(F.col("main").isNull(), F.col("n")).otherwise(1)).alias("n")))
     entropy = lambda by: (
         seen.groupBy("host", "path", by).agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
         .select("host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias(f"{by}_entropy"))

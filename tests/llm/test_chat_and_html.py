@@ -123,3 +123,11 @@ def test_copies_of_one_article_stay(spark):
     rows = [(k, "https://h.org/a", PAGE) for k in range(50)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in got} == {html_text.main_text(PAGE)} and got[0]["n_chars"] > 20
+
+
+def test_boilerplate_inside_main_is_cut(spark):
+    body = "<main><h1>Title {0}</h1><div class='story'><p>story number {0}</p></div><div class='b7'><p>Written by our staff</p></div></main>"
+    rows = [(k, f"http://h.org/{k}", body.format(k)) for k in range(9)] + [(20 + k, "http://one.org/", body.format(1)) for k in range(9)]
+    text = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [text[k] for k in range(9)] == [f"Title {k}\n\nstory number {k}" for k in range(9)]
+    assert {text[20 + k] for k in range(9)} == {"Title 1\n\nstory number 1\n\nWritten by our staff"}
