@@ -16,6 +16,7 @@ partial counts. The paths to cut are written out, and only they are joined to th
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,8 +29,10 @@ from .common import settle, ship, tidy
 
 THRESHOLD = 0.3
 MIN_PAGES = 3
-#: Containers below this depth are no nodes of their own in the tree, so that senselessly nested pages cost no more than others.
+#: branches() alone stops here unless told otherwise; the style tree takes every depth.
 DEPTH = 32
+#: Content hashes are polynomials of the blocks' hashes, so that a container's is the difference of two running ones.
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -82,42 +85,60 @@ def parse(page: str) -> Node:
         name = tag + ("." + ".".join(words.split()) if words else "")
         prior = 0.0 if tag in _LOW_TAGS or (words and tag not in ("body", "html") and _LOW_NAMES.search(words)) else 1.0 if tag in _HIGH_TAGS or names.get("role") == "main" else None
         above = stack[-1]
-        own = tag in _CONTAINERS and above.depth < DEPTH
-        node = Node(tag, f"{above.path}/{name}" if own else above.path, above.depth + (tag in _CONTAINERS), prior)
+        own = tag in _CONTAINERS
+        # the path above goes in as a digest, so that a path's length doesn't grow with its depth
+        path = f"{xxhash.xxh3_128_hexdigest(above.path.encode('utf-8', 'surrogatepass'))}/{name}" if own else above.path
+        node = Node(tag, path, above.depth + own, prior)
         stack[-1].children.append(node)
         if tag not in _VOID:
             stack.append(node)
     return root
 
 
-def _flat(node: Node) -> str:
-    out: list[str] = []
-    todo: list[Node | str] = [node]
+def _contents(root: Node) -> dict[int, int]:
+    """Hash of the text of each container by id(), in one walk at any depth: the blocks of text in order, white space as one blank."""
+    sums, powers, now, began, out = [0], [1], [], {}, {}
+
+    def done() -> None:
+        if text := " ".join("".join(now).split()):
+            sums.append((sums[-1] * _BASE + xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) + 1) % _PRIME)
+            powers.append(powers[-1] * _BASE % _PRIME)
+        now.clear()
+
+    todo: list[tuple[Node | str, bool]] = [(root, False)]
     while todo:
-        x = todo.pop()
+        x, end = todo.pop()
         if isinstance(x, str):
-            out.append(x)
+            now.append(x)
+        elif end:
+            done()
+            if id(x) in began:
+                k = began.pop(id(x))
+                out[id(x)] = (sums[-1] - sums[k] * powers[len(sums) - 1 - k]) % _PRIME
         else:
-            if x.tag not in _INLINE:
-                out.append(" ")
-            todo += reversed(x.children)
-    return "".join(out)
+            if x.tag not in _INLINE or x.prior == 1.0:
+                done()
+                if x.tag in _CONTAINERS or x.prior == 1.0:
+                    began[id(x)] = len(sums) - 1
+                todo.append((x, True))
+            todo += ((c, False) for c in reversed(x.children))
+    return out
 
 
-def branches(root: Node) -> Iterator[tuple[str, str, int, int | None]]:
-    """(path, style, content's hash, enclosing article's hash or None) of the containers down to DEPTH that no prior of 0 decides above."""
-    told = lambda node: xxhash.xxh64_intdigest(" ".join(_flat(node).split()).encode("utf-8", "surrogatepass")) - (1 << 63)
+def branches(root: Node, depth: float = DEPTH) -> Iterator[tuple[str, str, int, int | None]]:
+    """(path, style, content's hash, enclosing article's hash or None) of the containers down to `depth` that no prior of 0 decides above."""
+    told = _contents(root)
     todo: list[tuple[Node, int | None]] = [(root, None)]
     while todo:
         node, main = todo.pop()
         for c in node.children:
             if isinstance(c, Node):
-                if c.tag in _CONTAINERS and c.tag != "body" and c.depth <= DEPTH:
+                if c.tag in _CONTAINERS and c.tag != "body" and c.depth <= depth:
                     seen = [x.tag for x in c.children if isinstance(x, Node)]
                     style = ",".join(t for k, t in enumerate(seen) if not k or seen[k - 1] != t)
-                    yield c.path, style, told(c), main
+                    yield c.path, style, told[id(c)], main
                 if c.prior != 0.0:
-                    todo.append((c, told(c) if c.prior == 1.0 and main is None else main))
+                    todo.append((c, told.get(id(c), 0) if c.prior == 1.0 and main is None else main))
 
 
 def blocks(root: Node, cut: frozenset[str]) -> list[str]:
@@ -148,7 +169,7 @@ def blocks(root: Node, cut: frozenset[str]) -> list[str]:
                 now.append(node)
         else:
             inside = inside or id(node) in keep
-            if node.prior == 0.0 or (node.prior is None and node.tag in _CONTAINERS and node.depth <= DEPTH and node.path in cut):
+            if node.prior == 0.0 or (node.prior is None and node.tag in _CONTAINERS and node.path in cut):
                 continue
             if node.tag == "br":
                 now.append(" ")
@@ -170,7 +191,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h.as_py(), *b) for h, p in zip(batch.column(0), batch.column(1)) for b in dict.fromkeys(branches(parse(p.as_py() or "")))]
+            rows = [(h.as_py(), *b) for h, p in zip(batch.column(0), batch.column(1)) for b in dict.fromkeys(branches(parse(p.as_py() or ""), math.inf))]
             cols = list(zip(*rows)) or [(), (), (), (), ()]
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["host", "path", "style", "content", "main"])

@@ -131,3 +131,12 @@ def test_boilerplate_inside_main_is_cut(spark):
     text = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [text[k] for k in range(9)] == [f"Title {k}\n\nstory number {k}" for k in range(9)]
     assert {text[20 + k] for k in range(9)} == {"Title 1\n\nstory number 1\n\nWritten by our staff"}
+
+
+def test_boilerplate_is_cut_at_any_depth(spark):
+    deep = "<div>" * 200 + "<div class='top'>Our shop since 1900</div><div class='story'><p>story number {}</p></div>" + "</div>" * 200
+    rows = [(k, f"http://h.org/{k}", deep.format(k)) for k in range(9)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"story number {k}" for k in range(9)}
+    nodes = list(html_text.branches(html_text.parse("<div>" * 20000 + "deep"), float("inf")))
+    assert len(nodes) == 20000 == len({n[0] for n in nodes}) and len({n[2] for n in nodes}) == 1 and max(len(n[0]) for n in nodes) < 50
