@@ -1,6 +1,6 @@
 """Secret scans in DataFrame operations only: named patterns, and character Markov models.
 
-Base kinds are found by patterns. The method adds kind `random`: tokens of 16 characters or more, with a digit, whose characters
+Base kinds are found by patterns. The method adds kind `random`: tokens of 16 characters or more whose characters
 are likelier under a first-order Markov model of random strings than under one of ordinary identifiers. Both are
 counted from labelled samples; the log-ratio of the two is a table of |alphabet|^2 numbers.
 
@@ -21,7 +21,7 @@ from .common import settle, sha256_hex, text_or_empty
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,4096}[0-9])[A-Za-z0-9+/_=-]{16,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -35,22 +35,42 @@ _WORDS = (
     "request response server client session request address account order item price customer supplier nation region part event stream window group "
     "sort filter join select insert update delete create drop view query schema database version build test data model train score label feature"
 ).split()
+#: Words and endings of the languages at hand, for the samples of letters only.
+_PROSE = (
+    "the and that with have this from they which would there their what about when make like time just know people into year good some could them other than then look only come over "
+    "think also back after work first well even want because these most national international misunderstanding responsibility characteristic through thought nothing wheel when where "
+    "tion ment ness able ing ed er ion ly re or an un state part world house mother example known thread pool executor http timeout "
+    "der die das und ist nicht ein eine mit sich auf dem den des von für auch wird werden haben durch schaft keit heit lich lichkeit ung isch chen ver ber be ge zu ach pfad pfau sch tz geschichte "
+    "geschwindigkeit begrenzung kranken versicherung zwischen "
+    "le la les des est que dans pour pas une sur avec plus sont elle ou ai eux aux tre oi ette ation ement ique anti constitution elle nous vous mais comme tout faire "
+    "el los las una por con para como pero sus este entre cuando muy sin sobre ser tiene también hasta hay donde quien desde todo dad mente ado ando ciones res desafortunada"
+).replace("ü", "ue").replace("é", "e").split()
 
 
 def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, label) built from rules: 1 random strings (hex, base64, mixed), 0 identifiers in snake case, camel case, with numbers and dates."""
-    words = F.array(*map(F.lit, _WORDS))
-    word = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(_WORDS))) + 1).cast("int"))
+    """(text, label) built from rules: 1 random strings (hex, base64, letters only), 0 identifiers in snake case, camel case, with numbers and dates, words in small letters and capitals, ruled lines."""
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
+    word = lambda k: pick(_WORDS, k)
+    prose = lambda between: F.concat_ws(between, *(pick(_PROSE, k) for k in range(11, 16)))
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     rows = spark.range(n)
-    random = F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).otherwise(F.substring(base64, 1, 32))
+    letters = F.regexp_replace(base64, "[^A-Za-z]", "")
+    random = (
+        F.when(F.col("id") % 6 < 2, F.substring(digest, 1, 40)).when(F.col("id") % 6 < 4, F.substring(base64, 1, 32))
+        .when(F.col("id") % 6 == 4, F.lower(letters)).otherwise(F.upper(letters))
+    )
     number = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1000)).cast("string")
     dated = F.concat_ws("-", word(1), F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), word(2))
     ordinary = (
-        F.when(F.col("id") % 4 == 0, F.concat_ws("_", word(1), word(2), word(3), number))
-        .when(F.col("id") % 4 == 1, F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), number))
-        .when(F.col("id") % 4 == 2, dated)
+        F.when(F.col("id") % 16 < 3, F.concat_ws("_", word(1), word(2), word(3), number))
+        .when(F.col("id") % 16 < 6, F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), number))
+        .when(F.col("id") % 16 < 8, dated)
+        .when(F.col("id") % 16 < 11, prose(""))
+        .when(F.col("id") % 16 == 11, F.upper(prose("")))
+        .when(F.col("id") % 16 == 12, F.upper(F.concat_ws("_", word(1), word(2), word(3))))
+        .when(F.col("id") % 16 == 13, F.regexp_replace(F.initcap(prose(" ")), " ", pick(["", "-", "_", "/"], 16)))
+        .when(F.col("id") % 16 == 14, F.repeat(pick(list("-_=+/"), 17), 24))
         .otherwise(F.concat_ws("/", word(1), word(2), F.concat(word(3), number)))
     )
     return rows.select(random.alias("text"), F.lit(1).alias("label")).union(rows.select(ordinary.alias("text"), F.lit(0).alias("label")))

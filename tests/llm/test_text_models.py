@@ -239,6 +239,14 @@ def test_markov_models_tell_samples_apart(spark):
     assert np.mean([(r["ratio"] > secrets.THRESHOLD) == (r["label"] == 1) for r in rows]) > 0.98
 
 
+def test_random_tokens_without_an_early_digit(spark):
+    random = ["qzjvkxwpfhgbtmyd", "XQJZKVWPHGFBTMYD", "kQzXvJwPfHgBtYmD", "wJalrXUtnFEMIxKtMDENGbPxRfiCYEXAMPLEKEY", "qZxJvKwPhG" * 500 + "7"]
+    plain = ["internationalization", "CONFIGURATION_SETTINGS", "Krankenversicherung", "state-of-the-art", "-" * 40, "=" * 40]
+    docs = spark.createDataFrame(list(enumerate(random + plain)), "doc_id long, text string")
+    found = secrets.digest(secrets.find(docs, secrets.train(secrets.samples(spark)))).collect()
+    assert {r["doc_id"]: r["spans"] for r in found} == {k: f"random:0:{len(t)}" if t in random else "" for k, t in enumerate(random + plain)}
+
+
 def brute_marks(text, lexicon):
     import xxhash
 
