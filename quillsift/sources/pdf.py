@@ -213,19 +213,24 @@ def _unicode_map(data: bytes) -> tuple[int, dict[bytes, str]]:
 
 
 def page_text(doc: Document, page: dict) -> str:
-    """The page's strings in drawing order; moves to another line are line feeds, wide gaps blanks."""
+    """The page's strings in drawing order, those of forms in place; moves to another line are line feeds, wide gaps blanks."""
+    contents = doc.get(page.get("Contents"))
+    parts = [doc.get(c) for c in contents] if isinstance(contents, list) else [contents]
+    out: list[str] = []
+    _draw(doc, doc.get(page.get("Resources")) or {}, b"\n".join(doc.data(p) for p in parts if isinstance(p, tuple)), out, (1, None), ())
+    return "\n".join(filter(None, (" ".join(x.split()) for x in "".join(out).split("\n"))))
+
+
+def _draw(doc: Document, resources: dict, content: bytes, out: list[str], font: tuple[int, dict[bytes, str] | None], within: tuple[int, ...]) -> None:
+    """Adds the content's strings to `out`; `within` are the forms that are being drawn, which are not entered again."""
     fonts: dict[str, tuple[int, dict[bytes, str] | None]] = {}
-    resources = doc.get(page.get("Resources")) or {}
+    forms = doc.get(resources.get("XObject")) or {}
     for name, ref in (doc.get(resources.get("Font")) or {}).items():
         font = doc.get(ref) or {}
         stream = doc.get(font.get("ToUnicode"))
         fonts[name] = _unicode_map(doc.data(stream)) if isinstance(stream, tuple) else (1, None)
-    contents = doc.get(page.get("Contents"))
-    parts = [doc.get(c) for c in contents] if isinstance(contents, list) else [contents]
-    lexer = Lexer(b"\n".join(doc.data(p) for p in parts if isinstance(p, tuple)))
-    out: list[str] = []
+    lexer = Lexer(content)
     stack: list = []
-    font: tuple[int, dict[bytes, str] | None] = (1, None)
     line: float | None = None
 
     def show(raw) -> None:
@@ -258,8 +263,13 @@ def page_text(doc: Document, page: dict) -> str:
         elif t == "Tm" and len(stack) > 5:
             out.append("\n" if line is not None and stack[5] != line else " ")
             line = stack[5]
+        elif t == "Do" and stack and isinstance(stack[-1], str):
+            form = doc.get(forms.get(stack[-1]))
+            if isinstance(form, tuple) and doc.get(form[0].get("Subtype")) == "Form" and id(form) not in within:
+                out.append("\n")
+                _draw(doc, doc.get(form[0].get("Resources")) or resources, doc.data(form), out, font, (*within, id(form)))
+                out.append("\n")
         elif t == "ID":
             end = re.compile(rb"\sEI\b").search(lexer.raw, lexer.at)
             lexer.at = end.end() if end else len(lexer.raw)
         stack = []
-    return "\n".join(filter(None, (" ".join(x.split()) for x in "".join(out).split("\n"))))

@@ -39,6 +39,18 @@ def test_pdf_pages_and_metadata():
     assert list(read_pdf(make_pdf(OBJECTS))) == ["Card (visa) 4684\n399293674835 end\ncafé A", "a@bco\nr", "A title\né"]
 
 
+def test_pdf_forms_are_read_in_place():
+    form = "/Type /XObject /Subtype /Form"
+    objects = OBJECTS | {
+        7: "<< /Type /Page /Parent 2 0 R /Contents 10 0 R /Resources << /XObject << /Fm1 11 0 R /Im1 13 0 R >> >> >>",
+        10: stream(b"BT (before) Tj ET q /Fm1 Do Q /Im1 Do /Missing Do BT (after) Tj ET"),
+        11: stream(b"BT (card 4684399293674835) Tj ET /Fm2 Do", form + " /Resources << /XObject << /Fm1 11 0 R /Fm2 12 0 R >> >>"),
+        12: stream(b"BT /F2 9 Tf <00100011> Tj ET /Fm1 Do", form + " /Resources << /Font << /F2 << /ToUnicode 8 0 R >> >> /XObject << /Fm1 11 0 R >> >>"),
+        13: stream(b"(no) Tj", "/Type /XObject /Subtype /Image"),
+    }
+    assert list(read_pdf(make_pdf(objects)))[2] == "before\ncard 4684399293674835\nab\nafter"
+
+
 def test_pdf_object_streams_and_missing_parts():
     inner = {1: OBJECTS[1], 2: OBJECTS[2].replace("5 0 R 7 0 R", "3 0 R"), 3: OBJECTS[3]}
     body, heads = b"", []
