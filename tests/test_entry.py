@@ -36,3 +36,16 @@ def test_query_equals_its_sql(spark, sql, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["filename", "datatype", "key", "value"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and set(queries.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_bench_times_every_query(monkeypatch, capsys):
+    import json
+    from unittest.mock import MagicMock
+
+    import bench
+
+    monkeypatch.setattr(bench, "SparkSession", MagicMock())
+    told = {name: MagicMock() for name in __spark_entry__.queries()}
+    monkeypatch.setattr(__spark_entry__, "queries", lambda: told)
+    bench.main()
+    assert set(json.loads(capsys.readouterr().out)["queries"]) == set(told) and all(q.called for q in told.values())
