@@ -40,7 +40,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told_lines(line_dedup.repeats(table(spark, sf_dir, "documents")))
 
 
-def op6_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of any length, so that repeated passages of short lines go too."""
     return _told_lines(line_dedup.repeats(table(spark, sf_dir, "documents"), min_words=1))
 
@@ -67,7 +67,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_exact_dedup, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op6_every_line, op7_secret_scan, op8_chat_format, op9_imatch, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_exact_dedup, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, every_line_dedup, op7_secret_scan, op8_chat_format, op9_imatch, op10_html_text)}
 
 #: Words of documents, shared by the SQL of the mixing query and of the pipeline.
 _MIX = """
@@ -114,4 +114,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM rows GROUP BY conv_id""",
 }
 #: As the ten-word query, with every line that has a word.
-ORACLES["op6_every_line"] = ORACLES["op6_line_dedup"].replace("len(words) >= 10", "len(words) >= 1")
+ORACLES["every_line_dedup"] = ORACLES["op6_line_dedup"].replace("len(words) >= 10", "len(words) >= 1")
