@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, html_text, imatch, line_dedup, mixing, quality, secrets, sentencepiece_codec, simhash
-from .common import table
+from .common import sha256_hex, table
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,18 +31,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_ids", F.sha2(ids, 256).alias("ids_sha256"), "round_trip")
 
 
-def _told_lines(found: DataFrame) -> DataFrame:
-    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", "n_chars", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"), "chars_removed", spans.alias("removed"))
-
-
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told_lines(line_dedup.repeats(table(spark, sf_dir, "documents")))
-
-
-def every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of any length, so that repeated passages of short lines go too."""
-    return _told_lines(line_dedup.repeats(table(spark, sf_dir, "documents"), min_words=1))
+    left = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return left.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), sha256_hex(F.col("text")).alias("left_sha256"), F.size("removed").cast("long").alias("n_removed"),
+        lost.alias("chars_removed"), "passage_words", spans.alias("removed"),
+    )
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +63,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_exact_dedup, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, every_line_dedup, op7_secret_scan, op8_chat_format, op9_imatch, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_exact_dedup, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_chat_format, op9_imatch, op10_html_text)}
 
 #: Words of documents, shared by the SQL of the mixing query and of the pipeline.
 _MIX = """
@@ -96,13 +92,30 @@ shared AS (SELECT *, CASE WHEN target > 0 THEN greatest(0.0::DOUBLE, least(1.0::
 rooted AS (SELECT *, 1.0::DOUBLE - tilt AS line, sqrt(greatest(0.0::DOUBLE, (1.0::DOUBLE - tilt) * (1.0::DOUBLE - tilt) + 4 * tilt * share)) AS root FROM shared)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE WHEN share > 0 THEN 2 * share / (line + root) ELSE 0 END, 6) END AS first_position FROM rooted""",
     "op6_line_dedup": r"""
-WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
-placed AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1)::BIGINT AS start, regexp_extract_all(lower(line), '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS words FROM lines),
-ranked AS (SELECT doc_id, start, start + length(line) AS stop, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) AS rank FROM placed WHERE len(words) >= 10),
-summed AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (rank > 1) AS n_removed, coalesce(sum(stop - start) FILTER (rank > 1), 0)::BIGINT AS chars_removed,
-    coalesce(string_agg(start::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY start) FILTER (rank > 1), '') AS removed FROM ranked GROUP BY doc_id)
-SELECT d.doc_id, length(coalesce(text, '')) AS n_chars, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0) AS chars_removed, coalesce(removed, '') AS removed
-FROM documents d LEFT JOIN summed s USING (doc_id)""",
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+marked AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n', chr(10) || chr(1), 'g'), '([.!?;:…][\x20\x09\x0b-\x0d]+)', '\1' || chr(1), 'g'),
+    '((?:^|[\x20\x09-\x0d\x01])[^\p{Lu}\x20\x09-\x0d\x01][^\x20\x09-\x0d\x01]*[\x20\x09\x0b-\x0d]+)(\p{Lu})', '\1' || chr(1) || '\2', 'g') AS text FROM docs),
+cut AS (SELECT doc_id, unnest(string_split(text, chr(1))) AS part, unnest(range(len(string_split(text, chr(1))))) AS k FROM marked),
+spaced AS (SELECT *, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) - length(part))::BIGINT AS start, regexp_extract_all(lower(part), '[^\x20\x09-\x0d]+') AS words FROM cut),
+pieces AS (SELECT doc_id, start, start + length(regexp_replace(part, '[\x20\x09-\x0d]+$', '')) AS stop, len(words) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place,
+    row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) AS rank FROM spaced WHERE len(words) > 0),
+runs AS (SELECT doc_id, min(start) AS start, max(stop) AS stop, sum(n) AS n FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM pieces WHERE rank > 1) GROUP BY doc_id, run HAVING sum(n) >= 20),
+split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM docs),
+lines AS (SELECT doc_id, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1)::BIGINT AS start, length(line) AS n, regexp_extract_all(lower(line), '[^\x20\x09-\x0d]+') AS words FROM split),
+ranked AS (SELECT doc_id, start, start + n AS stop, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) AS rank FROM lines WHERE len(words) > 0),
+spans AS (SELECT doc_id, start, stop FROM runs UNION ALL SELECT doc_id, start, stop FROM ranked WHERE rank > 1),
+seen AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
+islands AS (SELECT *, sum((before IS NULL OR start > before)::INT) OVER (PARTITION BY doc_id ORDER BY start, stop) AS island FROM seen),
+gone AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM islands GROUP BY doc_id, island),
+edged AS (SELECT g.*, text, CASE WHEN start = 0 THEN chr(10) ELSE text[start] END AS prior, text[stop + 1] AS after FROM gone g JOIN docs USING (doc_id)),
+skipped AS (SELECT *, stop + CASE WHEN after = chr(10) THEN (prior = chr(10))::INT WHEN regexp_matches(after, '^[\x20\x09\x0b-\x0d]') AND regexp_matches(prior, '^[\x20\x09-\x0d]') THEN 1 ELSE 0 END AS resume FROM edged),
+kept AS (SELECT *, substr(text, coalesce(lag(resume) OVER (PARTITION BY doc_id ORDER BY start), 0) + 1, start - coalesce(lag(resume) OVER (PARTITION BY doc_id ORDER BY start), 0)) AS part FROM skipped),
+told AS (SELECT doc_id, string_agg(part, '' ORDER BY start) || substr(any_value(text), max(resume) + 1) AS left_over, count(*) AS n_removed, sum(stop - start)::BIGINT AS chars_removed,
+    string_agg(start::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY start) AS removed FROM kept GROUP BY doc_id),
+passages AS (SELECT doc_id, sum(n)::BIGINT AS passage_words FROM runs GROUP BY doc_id)
+SELECT d.doc_id, length(coalesce(left_over, d.text)) AS n_chars, sha256(coalesce(left_over, d.text)) AS left_sha256, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0) AS chars_removed,
+    coalesce(passage_words, 0) AS passage_words, coalesce(removed, '') AS removed
+FROM docs d LEFT JOIN told t ON d.doc_id = t.doc_id LEFT JOIN passages p ON d.doc_id = p.doc_id""",
     "op8_chat_format": r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -113,5 +126,3 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + len(regexp_extract_all(role, '<\\*\|')))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id""",
 }
-#: As the ten-word query, with every line that has a word.
-ORACLES["every_line_dedup"] = ORACLES["op6_line_dedup"].replace("len(words) >= 10", "len(words) >= 1")

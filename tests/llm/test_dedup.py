@@ -1,6 +1,8 @@
 import hashlib
 import itertools
 import random
+import re
+import unicodedata
 
 import pytest
 import xxhash
@@ -130,61 +132,125 @@ def test_chunks_are_the_text_and_follow_the_content(spark):
         assert len(set(got[0]) & set(got[k])) > 0.8 * len(got[0])
 
 
-def lines_brute(rows, min_words=10):
-    first, out = {}, []
-    for n, (i, t) in sorted(enumerate(rows), key=lambda x: (-1 if x[1][0] is None else x[1][0], x[0])):
-        at, removed, count = 0, [], 0
-        for line in (t or "").split("\n"):
-            words = tuple(line.lower().split())
-            if len(words) >= min_words:
-                count += 1
-                if words in first:
-                    removed.append((at, at + len(line)))
-                else:
-                    first[words] = (i, at)
+def brute_pieces(text):
+    """Word by word: (start, end, words) of the pieces, cut at line breaks, after a sentence's end and before a capital that follows a small letter."""
+    out, now = [], []
+    for m in re.finditer(r"[^\x20\x09-\x0d]+", text):
+        if now:
+            gap, last = text[now[-1][1] : m.start()], now[-1][2]
+            upper = unicodedata.category(m[0][0]) == "Lu" and unicodedata.category(last[0]) != "Lu"
+            if "\n" in gap or last[-1] in ".!?;:…" or upper:
+                out.append(now)
+                now = []
+        now.append((m.start(), m.end(), m[0]))
+    return [(p[0][0], p[-1][1], tuple(w[2].lower() for w in p)) for p in [*out, now] if p]
+
+
+def passages_brute(rows, run_words=20):
+    """{(id, text): (left, removed)} with one entry for each document; ids are distinct or texts of one id are equal."""
+    seen, lines, out = set(), set(), {}
+    for i, t in sorted({(i, t or "") for i, t in rows}, key=lambda x: -1 if x[0] is None else x[0]):
+        marks, run = bytearray(len(t)), []
+        for start, end, words in [*brute_pieces(t), (len(t), len(t), ())]:
+            if words and words in seen:
+                run.append((start, end, words))
+                continue
+            if sum(len(r[2]) for r in run) >= run_words:
+                # a piece begins at the end of what goes before, with its indentation
+                before = max((e for _, e, _ in brute_pieces(t) if e <= run[0][0]), default=0)
+                gap = t[before : run[0][0]]
+                start0 = run[0][0] - len(gap.rpartition("\n")[2]) if "\n" in gap or not before else run[0][0]
+                marks[start0 : run[-1][1]] = b"1" * (run[-1][1] - start0)
+            run = []
+            seen.add(words)
+        at = 0
+        for line in t.split("\n"):
+            words = tuple(re.findall(r"[^\x20\x09-\x0d]+", line.lower()))
+            if words:
+                if words in lines:
+                    marks[at : at + len(line)] = b"1" * len(line)
+                lines.add(words)
             at += len(line) + 1
-        out.append((i, len(t or ""), count, tuple(removed)))
-    return sorted(out, key=repr)
+        spans = [m.span() for m in re.finditer(b"1+", bytes(marks))]
+        left = list(t)
+        for start, end in spans:
+            left[start:end] = [""] * (end - start)
+            before, after = t[start - 1] if start else "\n", t[end : end + 1]
+            if after and (before == "\n" if after == "\n" else before.isspace() and after.isspace()):
+                left[end] = ""
+        out[i, t] = ("".join(left), tuple(spans))
+    return out
+
+
+def lost(got):
+    return sorted(((r["doc_id"], r["text"], tuple((s["start"], s["end"]) for s in r["removed"])) for r in got), key=repr)
+
+
+def lost_brute(rows):
+    known = passages_brute(rows)
+    return sorted(((i, *known[i, t or ""]) for i, t in rows), key=repr)
 
 
 def test_line_repeats(spark):
     para = "This passage has quite a few words and it is said again elsewhere"
-    rows = [(1, f"{para}\nown words\n{para}"), (2, f"start\n  {para.upper()}  \nend"), (3, "é😀 " * 12 + "\n" + para), (4, None), (5, ""), (6, para), (6, para), (None, para), (8, "\n".join([para] * 3000)), (9, "w " * 200000)]
-    got = line_dedup.repeats(frame(spark, rows).coalesce(1)).collect()
-    assert sorted(((r["doc_id"], r["n_chars"], r["n_units"], tuple((s["start"], s["end"]) for s in r["removed"])) for r in got), key=repr) == lines_brute(rows)
-    assert all(r["n_removed"] == len(r["removed"]) and r["chars_removed"] == sum(s["end"] - s["start"] for s in r["removed"]) for r in got)
-    assert line_dedup.repeats(frame(spark, [])).collect() == []
+    rows = [(1, f"{para}\nown words\n{para}"), (2, f"start\n  {para.upper()}  \nend"), (3, "é😀 " * 12 + "\n" + para), (4, None), (5, ""), (6, para), (6, para), (None, para), (8, "\n".join([para] * 3000)), (9, "w " * 200000), (10, "own  words\n\tOWN words")]
+    assert lost(line_dedup.dedup(frame(spark, rows)).collect()) == lost_brute(rows)
+    assert line_dedup.dedup(frame(spark, [])).collect() == [] and line_dedup.repeats(frame(spark, [])).collect() == []
 
 
-def test_line_repeats_on_the_table(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    got = line_dedup.repeats(docs).collect()
-    assert sorted(((r["doc_id"], r["n_chars"], r["n_units"], tuple((s["start"], s["end"]) for s in r["removed"])) for r in got), key=repr) == lines_brute(rows)
+def test_passages_inside_of_lines(spark):
+    """A passage that is spliced into the middle of sentences goes all the same; short sentences that are common stay."""
+    passage = "The river rose twice that winter. Nobody in the village could say why! It took two bridges with it and left a third one standing; then came the frost. Die Kinder liefen auf dem Eis bis zum Mühlrad hinüber."
+    rows = [(1, f"we were told by {passage} and that was all"), (2, f"nobody asked. Yes. {passage} Yes. no more of it\n"), (3, f"ü {passage}"), (4, "Yes. The frost. Yes."), (5, passage.replace("twice", "thrice"))]
+    got = line_dedup.dedup(frame(spark, rows)).collect()
+    assert lost(got) == lost_brute(rows)
+    left = {r["doc_id"]: r["text"] for r in got}
+    assert left[1] == rows[0][1] and left[4] == rows[3][1]
+    assert left[2] == "nobody asked. Yes. no more of it\n" and left[3] == "ü " and "thrice" in left[5] and "frost" not in left[5]
+    assert {r["doc_id"]: r["passage_words"] for r in got}[3] == len(passage.split())
 
 
-def test_repeated_passages_of_short_lines(spark):
-    verse = "\n".join(f"line {k} of the verse" for k in range(12))
-    docs = spark.createDataFrame([(1, f"mine\n{verse}"), (2, f"{verse}\n\nyours")], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in line_dedup.apply(docs, line_dedup.repeats(docs, min_words=1)).collect()}
-    assert out == {1: f"mine\n{verse}", 2: "\nyours"}
+def test_line_repeats_on_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert lost(line_dedup.dedup(docs).collect()) == lost_brute(rows)
 
 
-def test_every_line_on_the_table(spark):
+def test_lines_query_equals_its_sql(spark):
     import duckdb
 
     sql = duckdb.connect()
     sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = sql.execute(queries.ORACLES["every_line_dedup"]).fetchall()
-    got = [tuple(r) for r in queries.every_line_dedup(spark, SF).collect()]
-    assert sorted(got) == sorted(want)
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
-    assert sorted((i, n, u, len(s)) for i, n, u, s in lines_brute(rows, 1)) == sorted(r[:4] for r in got)
+    want = sql.execute(queries.ORACLES["op6_line_dedup"])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in queries.op6_line_dedup(spark, SF).select(columns).collect()) == sorted(want.fetchall())
+
+
+def test_repeated_passages_of_short_lines(spark):
+    verse = "\n".join(f"line {k} of the verse" for k in range(12))
+    docs = spark.createDataFrame([(1, f"mine\n{verse}"), (2, f"{verse}\n\nyours")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()} == {1: f"mine\n{verse}", 2: "\nyours"}
 
 
-def test_line_removal_gives_the_texts(spark):
+def test_lines_paragraphs_and_minimum(spark):
     para = "a b c d e f g h i j k"
-    docs = spark.createDataFrame([(1, f"{para}\nmine"), (2, f"top\n{para}\nlast"), (3, None)], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in line_dedup.apply(docs, line_dedup.repeats(docs)).collect()}
-    assert out == {1: f"{para}\nmine", 2: "top\nlast", 3: None}
-    assert list(line_dedup.split_units("a b\n\nc d", "paragraph", 2))[1][:2] == (5, 8)
+    docs = spark.createDataFrame([(1, f"{para}\nmine"), (2, f"top\n{para}\nlast"), (3, None), (4, "mine")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, min_words=10, run_words=0).collect()}
+    assert out == {1: f"{para}\nmine", 2: "top\nlast", 3: "", 4: "mine"}
+    assert list(line_dedup.split_units("a b\n\nc d", "paragraph", 2, 0))[1][:2] == (5, 8)
+
+
+def test_planted_passages_are_caught(spark):
+    """Of the windows of 50 words that an earlier document has, nine in ten are gone, windows of fewer than ten different words aside."""
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    removed = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed"]] for r in line_dedup.dedup(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    seen, found, gone = set(), 0, 0
+    for i, t in rows:
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\S+", t)]
+        windows = [tuple(w[2] for w in words[k : k + 50]) for k in range(len(words) - 49)]
+        for k, w in enumerate(windows):
+            if w in seen and len(set(w)) >= 10:
+                found += 1
+                gone += any(a <= words[k][0] and words[k + 49][1] <= b for a, b in removed[i])
+        seen.update(windows)
+    assert found > 1000 and gone >= 0.9 * found
