@@ -7,7 +7,8 @@ For a unigram model the edges carry scores and the best sum survives. Only a win
 piece is kept: as soon as all surviving backpointer paths meet in one boundary, the ids before it are committed.
 
 Boundaries that no piece of the vocabulary crosses (before a blank that follows another character, around line feeds, between letters and
-other characters) are such meeting points always; what lies between two of them is encoded once and remembered: the last MEMO segments or more, 2 * MEMO at most, in each worker.
+other characters) are such meeting points always. What the pass has committed between two of them is remembered in each worker (the last MEMO segments or more,
+2 * MEMO at most), as the pass would commit it again.
 
 Encoding is reversible for every text: characters without a piece go out as byte pieces, and so does a
 literal U+2581, which the library would turn into a blank.
@@ -31,6 +32,8 @@ from .common import ship, tidy
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 MEMO = 250_000
+#: What a character without a piece costs in a unigram model.
+NO_PIECE = 1e6
 
 
 @dataclass
@@ -129,11 +132,12 @@ class Encoder:
         self.starts = {p[:k] for p in v.ids for k in range(1, len(p) + 1)}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
         #: The id of each piece, -1 for what only begins one; and for each first piece what may follow it.
         self.known = dict.fromkeys(self.starts, -1) | v.ids
         self.names = {k: p for p, k in v.ids.items()}
+        self.costs = {k: v.ranks[p] for p, k in v.ids.items()}
         self.follows: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.cut = re.compile(self._boundaries())
 
     def _boundaries(self) -> str:
@@ -148,120 +152,117 @@ class Encoder:
         other = rf"(?:(?![^\W\d_])[^{BLANK}{feed}])+"
         return rf"{BLANK}*[^\W\d_]+|{BLANK}*{other}|{BLANK}+" + (r"|\n" if feed else "")
 
-    def _short(self, text: str) -> list[int]:
-        """viterbi() of a merge model for a text shorter than its window, without the bookkeeping of the window."""
-        n, known, follows = len(text), self.known, self.follows
-        back, edge = [-1] * (n + 1), [-1] * (n + 1)  # edge: id of the piece that ends here, -1 for none
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """The ids of an escaped text (blanks as U+2581), committed up to where all surviving backpointer paths meet, a list whenever the window is full.
+
+        The window is full once it holds as many characters as two of the longest pieces; if its paths don't meet, once it has doubled. Boundaries before the last commit are forgotten.
+        """
+        return self._merged(text) if self.v.merges else self._scored(text)
+
+    def _merged(self, text: str) -> Iterator[list[int]]:
+        """stream() of a merge model: an edge may follow another if the two pieces stay apart."""
+        n, known, follows, longest = len(text), self.known, self.follows, self.longest
+        base, due = 0, 2 * longest  # the window begins at boundary base
+        back = [-1] * ((n if n < due else due + longest) + 1)  # where the edge to a boundary begins
+        edge = back[:]  # its piece, -1 for a character without one
         back[0] = 0
         for at in range(n):
-            if back[at] < 0:
+            k = at - base
+            if back[k] < 0:
                 continue
-            before, end = edge[at], at + 1
-            piece = known.get(text[at])
-            if piece is None or piece < 0:
-                if back[end] < 0:
-                    back[end], edge[end] = at, -1
+            if k >= due:
+                met = self._meeting(back, base, at)
+                yield self._path(text, back, edge, base, met)
+                gone, base = met - base, met
+                k -= gone
+                due = max(2 * longest, 2 * k)
+                room = [-1] * (due + longest + 1 - len(back) + gone)
+                back, edge = back[gone:] + room, edge[gone:] + room
+            before = edge[k]
             may = follows.get(before)
             if may is None:
                 may = follows[before] = {}
+            end, j, piece = at + 1, k + 1, known.get(text[at])
+            if (piece is None or piece < 0) and back[j] < 0:
+                back[j] = at
             while piece is not None:
-                if piece >= 0 and back[end] < 0:
+                if piece >= 0 and back[j] < 0:  # an encoding is unique, so a boundary is reached by one path
                     ok = may.get(piece)
                     if ok is None:
                         ok = may[piece] = before < 0 or stay_apart(self.names[before], self.names[piece], self.v)
+                        self.pairs += 1
+                        if self.pairs > 4 * MEMO:
+                            follows.clear()
+                            self.pairs = 0
                     if ok:
-                        back[end], edge[end] = at, piece
+                        back[j], edge[j] = at, piece
                 end += 1
                 if end > n:
                     break
+                j += 1
                 piece = known.get(text[at:end])
-        out: list[int] = []
-        while n:
-            start, piece = back[n], edge[n]
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out += [self.v.byte_ids[x] for x in reversed(text[start:n].encode("utf-8", "surrogatepass"))]
-            n = start
-        out.reverse()
-        return out
-
-    def viterbi(self, text: str) -> Iterator[int]:
-        """The ids of an escaped text (blanks as U+2581), committed as paths converge."""
-        ids, starts, merges, ranks, apart = self.v.ids, self.starts, self.v.merges, self.v.ranks, self.apart
-        base, n = 0, len(text)
-        back: list[int] = [0]  # of boundary base + k: where its last edge begins, -1 if unreached
-        edge: list[str | None] = [None]  # that edge's piece; None at the start and after a character without a piece
-        best: list[float] = [0.0]
+        if n:
+            yield self._path(text, back, edge, base, n)
+
+    def _scored(self, text: str) -> Iterator[list[int]]:
+        """stream() of a unigram model: the least sum of costs survives."""
+        n, known, costs, longest = len(text), self.known, self.costs, self.longest
+        base, due = 0, 2 * longest
+        back = [-1] * (due + longest + 1)
+        edge, cost = back[:], [0.0] * len(back)
+        back[0] = 0
         for at in range(n):
             k = at - base
             if back[k] < 0:
                 continue
-            before, alone = edge[k], text[at] not in ids
-            grow = [(at + 1, None)] if alone else []
-            end = at + 1
-            while end <= n and text[at:end] in starts:
-                if text[at:end] in ids:
-                    grow.append((end, text[at:end]))
+            if k >= due:
+                met = self._meeting(back, base, at)
+                yield self._path(text, back, edge, base, met)
+                gone, base = met - base, met
+                k -= gone
+                due = max(2 * longest, 2 * k)
+                room = [-1] * (due + longest + 1 - len(back) + gone)
+                back, edge, cost = back[gone:] + room, edge[gone:] + room, cost[gone:] + [0.0] * len(room)
+            edges, end = [], at + 1
+            if known.get(text[at], -1) < 0:
+                edges.append((k + 1, -1, cost[k] + NO_PIECE))
+            while end <= n and (piece := known.get(text[at:end])) is not None:
+                if piece >= 0:
+                    edges.append((end - base, piece, cost[k] + costs[piece]))
                 end += 1
-            for end, piece in grow:
-                j = end - base
-                while len(back) <= j:
-                    back.append(-1)
-                    edge.append(None)
-                    best.append(0.0)
-                if merges:
-                    if back[j] >= 0:
-                        continue  # an encoding is unique, so a boundary is reached by one path
-                    if before is not None and piece is not None:
-                        ok = apart.get((before, piece))
-                        if ok is None:
-                            if len(apart) > MEMO:
-                                apart.clear()
-                            ok = apart[before, piece] = stay_apart(before, piece, self.v)
-                        if not ok:
-                            continue
-                elif back[j] >= 0 and best[j] >= best[k] - (ranks[piece] if piece else 1e6):
-                    continue
-                back[j], edge[j] = at, piece
-                best[j] = best[k] - ((ranks[piece] if piece else 1e6) if not merges else 0)
-            if k >= 8 * self.longest:
-                met = self._meeting(back, base, at + 1)
-                if met > base:
-                    yield from self._path(text, back, edge, base, met)
-                    back, edge, best = back[met - base :], edge[met - base :], best[met - base :]
-                    base = met
-        yield from self._path(text, back, edge, base, n)
+            for j, piece, sum_ in edges:
+                if back[j] < 0 or sum_ < cost[j]:
+                    back[j], edge[j], cost[j] = at, piece, sum_
+        if n:
+            yield self._path(text, back, edge, base, n)
 
     @staticmethod
     def _meeting(back: list[int], base: int, at: int) -> int:
-        """The last boundary that the paths of all boundaries from `at` on have in common."""
-        common: set[int] | None = None
-        for k in range(at - base, len(back)):
-            if back[k] >= 0:
-                own, p = set(), base + k
-                while p > base:
-                    own.add(p)
-                    p = back[p - base]
-                common = own if common is None else common & own
-        return max(common or (base,))
-
-    def _path(self, text: str, back: list[int], edge: list[str | None], base: int, end: int) -> list[int]:
+        """The last boundary that the paths of all boundaries from `at` on have in common. Steps back the rightmost path until one is left; all begin in `base`."""
+        live = {base + k for k in range(at - base, len(back)) if back[k] >= 0}
+        while len(live) > 1:
+            last = max(live)
+            live.remove(last)
+            live.add(back[last - base])
+        return live.pop()
+
+    def _path(self, text: str, back: list[int], edge: list[int], base: int, end: int) -> list[int]:
         out: list[int] = []
         while end > base:
             start, piece = back[end - base], edge[end - base]
-            if piece is not None:
-                out.append(self.v.ids[piece])
+            if piece >= 0:
+                out.append(piece)
             else:
                 out += [self.v.byte_ids[x] for x in reversed(text[start:end].encode("utf-8", "surrogatepass"))]
             end = start
-        return out[::-1]
+        out.reverse()
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids; none for an empty or null text."""
         if not text:
             return np.empty(0, np.int32)
-        memo, out = self.memo, []
+        memo, out, stream = self.memo, [], self._merged if self.v.merges else self._scored
         for k, part in enumerate(text.split(BLANK)):
             if k:
                 out.append(np.array([self.v.byte_ids[x] for x in BLANK.encode()], np.int32).tobytes())
@@ -269,15 +270,13 @@ class Encoder:
             for segment in self.cut.findall(BLANK + part if not k and self.v.prefix else part):
                 ids = memo.get(segment)
                 if ids is None:
-                    short = self.v.merges and len(segment) <= 4 * self.longest
                     ids = self.older.get(segment)
                     if ids is None:
-                        ids = array("i", self._short(segment) if short else self.viterbi(segment)).tobytes()
-                    if short:
+                        ids = b"".join([array("i", committed).tobytes() for committed in stream(segment)])
+                    if len(segment) <= 4 * self.longest:
                         if len(memo) >= MEMO:
                             self.older, self.memo = memo, {}
                             memo = self.memo
-                            self.follows.clear()
                         memo[segment] = ids
                 out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
