@@ -1,11 +1,13 @@
 """I-Match fingerprints in DataFrame operations only.
 
-The lexicon holds the terms whose document frequency lies in a band, counted over all documents. A text's fingerprint keeps
-its distinct terms of the lexicon, sorts them, and hashes those in each of GROUPS randomised subsets of the lexicon;
-two fingerprints are as alike as the share of non-empty subsets in which their hashes agree.
+The lexicon holds the terms whose document frequency lies in a band, counted over all documents. GROUPS lexicons are drawn from it at
+random: each term enters PICKS of them, by independent hashes, so they overlap. A text's fingerprint keeps its distinct terms of
+the lexicon, sorts them, and hashes those in each drawn lexicon; two fingerprints are as alike as the share of
+lexicons, of those that find a term in either text, in which their hashes agree.
 
 Terms are named by their 64-bit hash. As each lexicon term is in at least `low` of all documents, the lexicon has at most
-(mean distinct terms of a document) / low terms however large the corpus is; it reaches the executors as a scalar subquery's value.
+(mean distinct terms of a document) / low terms however large the corpus is; it passes through the driver and reaches the executors as a constant of the plan, a table
+of short lists by hash, so that a term is looked up in constant time.
 """
 
 from __future__ import annotations
@@ -15,22 +17,37 @@ from pyspark.sql import functions as F
 
 from .common import settle, sha256_hex, text_or_empty
 
-LOW, HIGH, GROUPS = 0.005, 0.1, 128
+LOW, HIGH, GROUPS, PICKS = 0.005, 0.1, 256, 2
 BLOCK_ROWS, MOST_BLOCKS = 512, 1 << 16
-_COARSE = 8
+#: Lists of the lexicon's table; a list is as long as its terms collide, for any size of the lexicon.
+SLOTS = 1 << 14
+_TERM_BITS = 52
 
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-cased words of a text."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     "), " ")
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _slot(term: Column) -> Column:
+    return F.shiftrightunsigned(term, 40).bitwiseAND(SLOTS - 1).cast("int")
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row: lexicon, the sorted hashes of the terms whose share of the documents lies between `low` and `high`."""
+    """One row: lexicon, an array of SLOTS arrays with the hashes of the terms whose share of the documents lies between `low` and `high`."""
     counts = docs.select(F.explode(terms(text_or_empty(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.select(F.count("*").alias("n")).scalar()
-    return settle(counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).agg(F.sort_array(F.collect_list("term")).alias("lexicon")))
+    held = counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).groupBy(_slot(F.col("term")).alias("slot")).agg(F.collect_list("term").alias("held"))
+    none = F.array().cast("array<bigint>")
+    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(held, "slot", "left").select("slot", F.coalesce("held", none).alias("held"))
+    listed = F.sort_array(F.collect_list(F.struct("slot", F.sort_array("held").alias("held"))))
+    return settle(every.agg(F.transform(listed, lambda x: x["held"]).alias("lexicon")))
+
+
+def _constant(held: DataFrame) -> Column:
+    """The lexicon's table as a constant; its size has the bound that the module's text tells."""
+    return F.from_json(F.lit(held.select(F.to_json("lexicon").alias("told")).first()["told"]), "array<array<bigint>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -39,31 +56,36 @@ def _let(value: Column, body) -> Column:
 
 
 def kept_terms(text: Column, lexicon: Column) -> Column:
-    """The text's distinct terms of the lexicon, sorted."""
-    return F.sort_array(F.array_intersect(terms(text), lexicon))
-
-
-def marks(kept: Column, groups: int = GROUPS) -> Column:
-    """A fingerprint: array<int> of `groups` 16-bit hashes of the kept terms in each subset, -1 for an empty subset."""
-    fine = groups // _COARSE
-    place = lambda t: F.pmod(F.shiftright(t, 20), F.lit(groups))
-    one = lambda held: F.when(F.size(held) > 0, F.xxhash64(held).bitwiseAND(0xFFFF).cast("int")).otherwise(-1)
-    parts = lambda known: F.transform(F.sequence(F.lit(0), F.lit(_COARSE - 1)), lambda c: F.filter(known, lambda t: F.floor(place(t) / fine) == c))
-    hashed = lambda known: F.flatten(
-        F.transform(parts(known), lambda part: F.transform(F.sequence(F.lit(0), F.lit(fine - 1)), lambda f: _let(F.filter(part, lambda t: F.pmod(place(t), F.lit(fine)) == f), one)))
-    )
-    return _let(kept, hashed)
+    """The text's distinct terms of the lexicon."""
+    return F.filter(terms(text), lambda t: F.array_contains(F.get(lexicon, _slot(t)), t))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets that are non-empty in either fingerprint in which both agree; 1 if all are empty."""
-    both = F.zip_with(a, b, lambda x, y: F.when((x < 0) & (y < 0), 0).when(x == y, 65537).otherwise(1))
-    return _let(F.aggregate(both, F.lit(0).cast("long"), lambda s, x: s + x), lambda s: F.when(s == 0, 1.0).otherwise((F.floor(s / 65536)) / (s % 65536)))
+def marks(kept: Column, groups: int = GROUPS, picks: int = PICKS) -> Column:
+    """A fingerprint: array<bigint> by drawn lexicon, lexicon * 2^16 + a 16-bit hash of the sorted kept terms in it; lexicons without a term are left out."""
+    place = lambda k: lambda t: F.pmod(F.xxhash64(t, F.lit(k)), F.lit(groups))
+    entry = lambda k: lambda t: F.shiftleft(place(k)(t), _TERM_BITS) + F.shiftrightunsigned(t, 64 - _TERM_BITS)
+    group = lambda e: F.shiftrightunsigned(e, _TERM_BITS)
+    drawn = F.sort_array(F.concat(*[F.transform(kept, entry(k)) for k in range(picks)]))
+
+    def hashed(all_: Column) -> Column:
+        n = F.size(all_)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (group(F.get(all_, i - 1)) != group(F.get(all_, i - 2))))
+        one = lambda a, b: F.shiftleft(group(F.get(all_, a - 1)), 16) + F.xxhash64(F.slice(all_, a, F.coalesce(b, n + 1) - a)).bitwiseAND(0xFFFF)
+        return _let(starts, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), one))
+
+    return F.when(F.size(kept) > 0, _let(drawn, hashed)).otherwise(F.array().cast("array<bigint>"))
+
+
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """Share of the lexicons with a term in either text in which both hashes agree; without any, 1 for the `same` text and 0 for others."""
+    lexicons = lambda m: F.transform(m, lambda x: F.shiftrightunsigned(x, 16))
+    either = F.size(F.array_union(lexicons(a), lexicons(b)))
+    return F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(F.when(same, 1.0).otherwise(0.0))
 
 
 def told(marks: Column) -> Column:
-    """A fingerprint as text: four hex digits a subset, dots where it is empty."""
-    return F.array_join(F.transform(marks, lambda m: F.when(m < 0, "....").otherwise(F.lower(F.lpad(F.hex(m), 4, "0")))), "")
+    """A fingerprint as text: six hex digits a lexicon with terms."""
+    return F.array_join(F.transform(marks, lambda m: F.lower(F.lpad(F.hex(m), 6, "0"))), "")
 
 
 def _blocks(docs: DataFrame, key: Column) -> list[int]:
@@ -78,22 +100,23 @@ def _blocks(docs: DataFrame, key: Column) -> list[int]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """(doc_id, marks) for every row of `docs`; a null text counts as empty; equal texts have equal marks."""
-    held = lexicon(docs, text_col, low, high).scalar()
+    held = _constant(lexicon(docs, text_col, low, high))
     return docs.select(F.col(id_col).alias("doc_id"), kept_terms(text_or_empty(text_col), held).alias("kept")).select("doc_id", marks(F.col("kept")).alias("marks"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of `docs`.
 
-    The edited text's last half is the start of the next document's, by ascending id (null first; rows of one id in any
-    order), the first following the last. Texts move once: rows go to the range of their id, and each range's first row also
+    The edited text's last half is the start of the next document's, by ascending id (null first; rows of one id by their text's
+    hash), the first following the last. Texts move once: rows go to the range of their id, and each range's first row also
     goes to the range before. A null text counts as empty, other columns are ignored, an empty table gives an empty one.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     firsts = _blocks(docs, key)
-    held = lexicon(docs, text_col, low, high).scalar()
-    own = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    own = own.select("*", kept_terms(F.col("text"), held).alias("kept")).select("key", "doc_id", "text", marks(F.col("kept")).alias("marks"))
+    held = _constant(lexicon(docs, text_col, low, high))
+    text = text_or_empty(text_col)
+    own = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col(id_col).alias("doc_id"), text.alias("text"), kept_terms(text, held).alias("kept"))
+    own = own.select("key", "tie", "doc_id", "text", marks(F.col("kept")).alias("marks"))
     # a range is found in two steps, among every 64th first key and then among the 64 that follow
     cuts = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")
     coarse = F.split(F.lit(",".join(map(str, firsts[::64]))), ",").cast("array<bigint>")
@@ -104,16 +127,19 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     home = F.struct(F.col("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.when(F.col("block") > 0, F.col("block") - 1).otherwise(last).alias("block"), F.lit(True).alias("guest"))
     dealt = own.withColumn("block", block).withColumn("at", F.explode(F.when(is_first, F.array(home, guest)).otherwise(F.array(home))))
-    rows = dealt.select("key", "doc_id", "text", "marks", F.col("at.block").alias("block"), F.col("at.guest").alias("guest"))
-    order = Window.partitionBy("block").orderBy("guest", "key")
+    rows = dealt.select("key", "tie", "doc_id", "text", "marks", F.col("at.block").alias("block"), F.col("at.guest").alias("guest"))
+    order = Window.partitionBy("block").orderBy("guest", "key", "tie")
     met = rows.select("*", F.lead("text").over(order).alias("next_text"), F.lead("marks").over(order).alias("next_marks")).where(~F.col("guest"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    made = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "marks", "next_marks", edited.alias("edited"))
+    made = met.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "marks", "next_marks", edited.alias("edited"),
+        (F.col("text") == F.col("next_text")).alias("same_next"), F.col("text").alias("text"),
+    )
     marked = made.select("*", kept_terms(F.col("edited"), held).alias("kept")).select(
-        "doc_id", "n_chars", "marks", "next_marks", sha256_hex(F.col("edited")).alias("edited_sha256"), marks(F.col("kept")).alias("edited_marks")
+        "doc_id", "n_chars", "marks", "next_marks", "same_next", (F.col("text") == F.col("edited")).alias("same"), sha256_hex(F.col("edited")).alias("edited_sha256"), marks(F.col("kept")).alias("edited_marks")
     )
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", told(F.col("marks")).alias("fingerprint"), told(F.col("edited_marks")).alias("edited_fingerprint"),
-        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        likeness(F.col("marks"), F.col("edited_marks"), F.col("same")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks"), F.col("same_next")).alias("near_next"),
     )
