@@ -86,7 +86,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, mi
     ratio = np.log(counts[True] / counts[True].sum()) - np.log(counts[False] / counts[False].sum())
     signs = np.where(positive, 1.0, -1.0)
     w, b = descend(rows, ratio, signs)
-    mean = np.abs(w).sum() / max(1, np.count_nonzero(w))
+    mean = np.abs(w).sum() / max(1, np.count_nonzero(counts[True] + counts[False] > 2 * smooth))  # over the n-grams that are in some row
     w = ((1 - mix) * mean + mix * w) * ratio
     margins = np.array([w[r].sum() / max(1.0, np.sqrt(len(r))) + b for r in rows])
     slope, offset = _curve(margins, positive)
@@ -117,7 +117,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on `sample_rows` labelled rows at most, none of them held out. Rows without id or label are left out; of an id's labels the least counts."""
+    """Fits on `sample_rows` labelled rows at most, none of them held out. Rows without id or label are left out; of an id's labels the least counts, and of its texts the one of the least bitmap."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
@@ -136,8 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # sample_rows ids bound what is broadcast
     met = rows.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "label", "text")
-    got = sorted(met.mapInArrow(tidy(marks), "doc_id long, label int, marks binary").collect(), key=lambda r: (r["doc_id"], bytes(r["marks"])))
-    got = got[: 2 * sample_rows]  # an id may have several rows
+    # one row an id, chosen on the executors, so that sample_rows bounds what comes to the driver
+    one = met.mapInArrow(tidy(marks), "doc_id long, label int, marks binary").groupBy("doc_id", "label").agg(F.min("marks").alias("marks"))
+    got = sorted(one.collect(), key=lambda r: r["doc_id"])
     unpacked = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(r["marks"]), np.uint8))) for r in got]
     return fit_rows(unpacked, np.array([r["label"] for r in got]))
 
@@ -147,7 +148,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score", "predicted")
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.offset))
+    shared = spark.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, flags = Model(*shared.value), np.zeros(1 << BITS, bool)
