@@ -140,7 +140,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     first), mark, offset. Empty and null texts and empty tables have no units; other columns are ignored. Digests are counted before
     they move; a digest that is in a third of the rows is joined back as a table of its own, whose rows may be split between tasks.
     """
-    flat = units(docs, id_col, text_col, unit, min_words, run_words).withColumn("line", F.col("place") < 0)
+    flat = settle(units(docs, id_col, text_col, unit, min_words, run_words)).withColumn("line", F.col("place") < 0)
     first = flat.groupBy("high", "low", "line").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     is_first = F.struct("doc_id", "mark", "start").eqNullSafe(F.col("first"))
     later = flat.join(settle(first.drop("n")), ["high", "low", "line"]).where(~is_first)
