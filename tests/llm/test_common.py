@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quillsift.llm import common
@@ -27,3 +28,16 @@ def test_batches_are_small_unless_the_session_says_otherwise(spark):
 def test_texts(spark):
     rows = spark.createDataFrame([(None,), ("é",)], "text string").select(common.text_or_empty().alias("t"), common.sha256_hex(common.text_or_empty()).alias("h")).collect()
     assert [r["t"] for r in rows] == ["", "é"] and rows[0]["h"].startswith("e3b0c442")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    session = MagicMock()
+    session.sparkContext.getCheckpointDir.return_value, session.sparkContext.master = None, "spark://host:7077"
+    session.conf.get.return_value = None
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
+    session.conf.get.return_value = "hdfs://shared"
+    common.shared_dir(session)
+    session.sparkContext.setCheckpointDir.assert_called_once_with("hdfs://shared")

@@ -70,6 +70,37 @@ def test_links_of_clustered_fingerprints(spark, shard_rows):
     assert {k: found.get(k, k) for k in bits} == brute_components(bits, 3)
 
 
+def test_shards_agree_on_all_links():
+    """Any two fingerprints within the radius are together in a shard of every round below each shard that they share."""
+    random.seed(2)
+    masks = simhash.shard_masks(3, simhash.DEPTH)
+    assert [len(m) for m in masks] == [10 * 4**k for k in range(6)] and all(m.bit_count() >= 53 for m in masks[-1])
+    for _ in range(200):
+        flips = sum(1 << b for b in random.sample(range(64), 3))
+        kinds = [k for k, m in enumerate(masks[0]) if not m & flips]
+        for level in masks[1:]:
+            below = [[c for c in range(4 * k, 4 * k + 4) if not level[c] & flips] for k in kinds]
+            assert kinds and all(below)
+            kinds = [c for b in below for c in b]
+
+
+def test_a_dense_ball_of_fingerprints(spark):
+    """Thousands of fingerprints that agree on most bits are dealt out again and again, and one component comes out."""
+    random.seed(3)
+    centre = random.getrandbits(64)
+    values = {centre ^ sum(1 << b for b in random.sample(range(30), k)) for k in (0, 1, 2, 3) for _ in range(900)}
+    rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, k) for k, v in enumerate(sorted(values))], "bits long, node long")
+    found = components(simhash.link_fingerprints(rows, 3, 64)).collect()
+    assert len(found) == len(values) and {r["component"] for r in found} == {0}
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    bits = [(1, 0), (None, 7), (2, 63), (None, 1 << 60)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame([(*b, "") for b in bits], "doc_id long, bits long, text_sha256 string"))
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(spark.range(1)).collect()}
+    assert got == {(1, f"{0:016x}"): 1, (None, f"{7:016x}"): 1, (2, f"{63:016x}"): 1, (None, f"{1 << 60:016x}"): 1}
+
+
 def test_bk_tree_finds_all_within():
     random.seed(1)
     base = random.getrandbits(64)

@@ -1,11 +1,14 @@
 import hashlib
 import importlib
+import re
 import sys
 
 import pytest
 
 import corpus_pipeline
-from quillsift.llm import mixing, quality, simhash
+from quillsift.llm import mixing, quality, sentencepiece_codec, simhash
+
+from test_text_models import targets_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,15 +83,88 @@ def test_repeated_rows_and_null_ids(spark):
     once = corpus_pipeline.drop_copies(spark, docs, SF)
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in once.collect()) == [(0, "no id"), (4, ""), (5, "other"), (5, "same text")]
     near = corpus_pipeline.drop_near_copies(spark, docs, SF)
-    assert {r["doc_id"] for r in near.collect()} == {1, 3, None}
+    # of the five rows that say the same the first stays, once; of the two without words, the one of the smaller id
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in near.collect()) == [(0, "no id"), (1, "same text"), (3, ""), (5, "other")]
     unique = docs.where("doc_id IN (1, 3, 4)").distinct()
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, unique, SF).collect()) == [1, 4]
-    mixed = corpus_pipeline.mix(spark, docs, SF).collect()
-    assert mixed and max(sum(r["doc_id"] == k for r in mixed) for k in (1, 2, None)) <= 6
+    mixed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, docs, SF).collect()]
+    want = {}
+    for r in mixing.plan(docs, whole=True).collect():
+        if r["taken"]:
+            key = r["doc_id"], r["text_sha256"]
+            want[key] = want.get(key, 0) + r["taken"] // r["size"]
+    got = {}
+    for i, t in mixed:
+        key = i, hashlib.sha256((t or "").encode()).hexdigest()
+        got[key] = got.get(key, 0) + 1
+    assert got == want and len(want) >= 3
     for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix, corpus_pipeline.token_ids):
         assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+LONG = "many words that go on " * 20000
+ODD = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, LONG, "en", "a", 9), (4, LONG, "en", None, 9), (4, LONG, "en", None, 9), (None, "no id at all", "en", "b", 1), (None, "none here either, you see", "en", "b", 1), (7, "\n \t", "en", "b", 3)]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_every_stage_takes_odd_rows(spark, name, stage):
+    """Nulls in every column, empty and very long texts, repeated rows, an empty table, extra columns with clashing names."""
+    clash = "component string, text_sha256 string, kept string, n string, row string, position string, score string, predicted string, ids string, own_sha256 string"
+    docs = spark.createDataFrame([(*r, *"abcdefghij") for r in ODD], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    got = stage(spark, docs, SF)
+    rows = got.collect()
+    assert stage(spark, docs.limit(0), SF).collect() == []
+    if stage is corpus_pipeline.token_ids:
+        assert len(rows) == len(ODD) and all(r["round_trip"] for r in rows)
+        return
+    assert got.columns == list(corpus_pipeline.COLUMNS) and {(r["doc_id"], r["text"]) for r in rows} <= {r[:2] for r in ODD}
+    texts = sorted(r["text"] or "" for r in rows)
+    if stage is corpus_pipeline.drop_copies:
+        assert texts == sorted({r[1] or "" for r in ODD})
+    if stage is corpus_pipeline.drop_near_copies:
+        assert texts.count(LONG) == 1 and sum(not t.strip() for t in texts) == 1
+    if stage is corpus_pipeline.mix:
+        assert {r["doc_id"] for r in rows} <= {3, 4, None}
+
+
+def test_the_whole_pipeline_against_brute_force(spark):
+    """The last stage's ids are the encoded texts of what the first four keep, worked out in plain Python from the classifier's answers on."""
+    docs = [(r["doc_id"], r["text"] or "", r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    good = {r["doc_id"] for r in quality.quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect() if r["predicted"] == 1}
+    best = {}
+    for i, t, s in docs:
+        if i in good and i >= best.get(t, (-1,))[0]:
+            best[t] = (i, t, s)
+    bits = {i: simhash.fingerprint(t) for i, t, _ in best.values()}
+    label = {i: i for i in bits}
+    for _ in bits:
+        joined = {a: min(label[b] for b in bits if (bits[a] ^ bits[b]).bit_count() <= 3) for a in bits}
+        if joined == label:
+            break
+        label = joined
+    left = [(i, t, s) for i, t, s in best.values() if label[i] == i]
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in left}
+    sizes = {}
+    for i, _, s in left:
+        sizes[s] = sizes.get(s, 0) + words[i]
+    targets, want = targets_brute(sizes), {}
+    for s in sizes:
+        done, target = 0, targets[s]
+        passes = int(target // sizes[s])
+        rest = int(target - passes * sizes[s])
+        for i in sorted((i for i, _, x in left if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            partly = max(0, min(words[i], rest - done))
+            if n := passes + (2 * partly > words[i]):
+                want[i] = n if words[i] else 0
+            done += words[i]
+    encoder, texts = sentencepiece_codec.Encoder(sentencepiece_codec.load()), {i: t for i, t, _ in left}
+    got = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert r["ids"] == encoder.encode(texts[r["doc_id"]]).tolist()
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {i: n for i, n in want.items() if n}
+
+
 def test_entry_without_the_llm_parts(monkeypatch):
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     entry = importlib.reload(importlib.import_module("__spark_entry__"))
