@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import exact_dedup, mixing, quality, sentencepiece_codec, simhash
@@ -14,47 +14,74 @@ from quillsift.llm.common import settle, sha256_hex, table, text_or_empty
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _key(docs: DataFrame) -> Column:
+    """What tells apart the rows of one id: the hash of the text; a null text counts as empty."""
+    return sha256_hex(text_or_empty())
+
+
+def _meet(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """`docs` joined to `keys` (doc_id, text_sha256, ...) on both, null ids included."""
+    own = docs.select(*COLUMNS, _key(docs).alias("own_sha256"))
+    met = own.join(keys, own["doc_id"].eqNullSafe(keys["doc_id"]) & (own["own_sha256"] == keys["text_sha256"]), how)
+    return met if how != "inner" else met.drop(keys["doc_id"], keys["text_sha256"])
+
+
+def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """`docs` with the rows whose keys are `repeated` there once each; only these are moved beside the others."""
+    if not repeated.head(1):
+        return docs.select(*COLUMNS)
+    again = _meet(docs, repeated, "left_semi").dropDuplicates(["doc_id", "own_sha256"])
+    return _meet(docs, repeated, "left_anti").select(*COLUMNS).union(again.select(*COLUMNS))
+
+
+def _kept(docs: DataFrame, fates: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay by `fates` (doc_id, text_sha256, kept), each key once."""
+    keys = settle(fates.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 OR NOT kept"))
+    repeated = settle(keys.where("kept"))
+    if not repeated.head(1):
+        return _meet(docs, keys, "left_anti").select(*COLUMNS)
+    again = _meet(docs, repeated, "left_semi").dropDuplicates(["doc_id", "own_sha256"])
+    return _meet(docs, keys, "left_anti").select(*COLUMNS).union(again.select(*COLUMNS))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls good; it learns from the labels of `docs` that are not held out."""
+    """Documents that the classifier calls good; it learns from the labels of `docs` that are not held out.
+
+    Each row is judged by its text alone, repeated rows alike, rows without an id too; null and empty texts have the score of no indicator. An empty table
+    gives an empty table, as do labels of one class 0 only.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, of the document with the largest id; a row that is there twice is kept once."""
-    own = settle(exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "text_sha256"))
-    best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    shared = settle(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    dropped = own.where(~best).select("doc_id")
-    at = lambda keys: docs["doc_id"].eqNullSafe(keys["doc_id"])
-    if not shared.head(1):
-        keys = settle(dropped)
-        return docs.join(keys, at(keys), "left_anti").select(*COLUMNS)
-    # ids that several rows have are decided by their texts; only these rows are moved
-    keys = settle(dropped.union(shared).distinct())
-    once = docs.join(keys, at(keys), "left_anti").select(*COLUMNS)
-    rows = docs.join(shared, at(shared), "left_semi").select(*COLUMNS, sha256_hex(text_or_empty()).alias("text_sha256"))
-    kept = settle(own.where(best).select("doc_id", "text_sha256").distinct())
-    again = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_sha256"] == kept["text_sha256"]), "left_semi")
-    return once.union(again.dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS))
+    """One row of each group of equal texts (null: empty), of the document with the largest id, a null id being the smallest; a row that is there twice is kept once."""
+    groups = settle(exact_dedup.exact_groups(docs))
+    return _kept(docs, groups.select("doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id; rows of one id share its fate, rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    dropped = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each near-duplicate group: of the smallest id, null last, then of the least text hash. Rows that share an id but not a text are judged each on its own."""
+    groups = settle(simhash.near_duplicates(docs).select("doc_id", "text_sha256", "component"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    best = settle(groups.groupBy("component").agg(F.min(rank).alias("best")))
+    return _kept(docs, groups.join(best, "component").select("doc_id", "text_sha256", rank.eqNullSafe(F.col("best")).alias("kept")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them, in the order of the curriculum; rows of one id are placed together."""
-    placed = settle(mixing.curriculum(mixing.plan(docs, whole=True)).groupBy("doc_id", "copy").agg(F.min("position").alias("position")))
-    copies = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).select(*[docs[c] for c in COLUMNS], "copy", "position")
-    return copies.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy").select(*COLUMNS)
+    """Whole documents as often as the mix takes them, in the order of the curriculum.
+
+    Each row has its own copies; rows that repeat an id and a text are planned one by one and interchangeable. Rows of size 0 and texts that are null aren't taken.
+    """
+    placed = settle(mixing.copies(mixing.plan(docs, whole=True)).select("doc_id", "text_sha256", "position"))
+    seen = docs.select("doc_id", _key(docs).alias("text_sha256")).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
+    rows = _once(docs, settle(seen.where("n > 1").drop("n")))
+    copies = _meet(rows, placed, "inner").select(*COLUMNS, "position")
+    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids; decoding them gives its text back."""
+    """Each row's ids; decoding them gives its text back. Null and empty texts have none; repeated rows and null ids stay as they are."""
     return sentencepiece_codec.encode(docs)
 
 
