@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import os
 from dataclasses import replace
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -47,7 +46,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.mime:
         for name in args.mime:
-            print(f"{name}: {'Directory' if os.path.isdir(name) else selection.media_type_of(Path(name).read_bytes())}")
+            if os.path.isdir(name):
+                print(f"{name}: Directory")
+            else:
+                with open(name, "rb") as f:
+                    print(f"{name}: {selection.media_type_of(f)}")
         return 0
     chosen = config.load(None if args.default_conf else args.conf_file)
     for name in chosen.ignored:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+import zipfile
+from typing import BinaryIO
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.encoding import decode, detect_encoding
+
 # The extensions and media types of each reader, in order of precedence.
 HANDLERS: dict[str, dict[str, tuple[str, ...]]] = {
     "docx": {"ext": (".docx",), "mime": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",)},
@@ -25,14 +32,16 @@ HANDLERS: dict[str, dict[str, tuple[str, ...]]] = {
 BLANK_CELLS, BLANK_ROWS = 500, 250
 # How files of a type begin, and the folders inside Office archives.
 MAGIC = (
-    (b"%PDF-", "application/pdf"), (bytes.fromhex("D0CF11E0A1B11AE1"), "application/vnd.ms-excel"), (b"<?xml", "application/xml"),
-    (b"<!DOCTYPE", "text/html"), (b"<!doctype", "text/html"), (b"<html", "text/html"),
+    (b"%PDF-", "application/pdf"), (bytes.fromhex("D0CF11E0A1B11AE1"), "application/vnd.ms-excel"), (b"{\\rtf", "text/rtf"),
+    (b"<?xml", "application/xml"), (b"<!doctype html", "text/html"), (b"<html", "text/html"), (b"<!doctype", "application/xml"),
 )
 ARCHIVE = b"PK\x03\x04"
 PARTS = (
-    (b"word/", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
-    (b"xl/", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+    ("word/", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ("xl/", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
 )
+#: So much of the start of a file tells its type.
+HEAD = 1 << 16
 
 
 def supported(kind: str) -> list[str]:
@@ -69,20 +78,48 @@ def excluded(directory: Column, patterns: list[str], starts: list[str] = ()) ->
     return hit & ~F.coalesce(directory.isin(*starts), F.lit(False)) if starts else hit
 
 
-def media_type(content: Column) -> Column:
-    """Media type by the first bytes of a file, and for zip archives by the names in their directory at the end; null if they say nothing."""
-    head = F.hex(F.substring(content, 1, 16))
-    listed = F.hex(F.substring(content, -4096, 4096))
-    out = F.lit(None).cast("string")
-    for inside, mime in reversed(PARTS):
-        out = F.when(head.startswith(ARCHIVE.hex().upper()) & listed.contains(inside.hex().upper()), mime).otherwise(out)
-    for start, mime in reversed(MAGIC):
-        out = F.when(head.startswith(start.hex().upper()), mime).otherwise(out)
-    return out
-
-
-def media_type_of(raw: bytes) -> str | None:
-    """media_type() of bytes at hand."""
-    if (mime := next((m for start, m in MAGIC if raw.startswith(start)), None)) is not None:
-        return mime
-    return next((m for inside, m in PARTS if raw.startswith(ARCHIVE) and inside in raw[-4096:]), None)
+def register(name: str, exts: tuple[str, ...] = (), mimes: tuple[str, ...] = ()) -> None:
+    """Says which files a further reader takes; the readers before it come first."""
+    HANDLERS[name] = {"ext": tuple(exts), "mime": tuple(mimes)}
+
+
+def unregister(name: str) -> None:
+    HANDLERS.pop(name, None)
+
+
+def media_type_of(f: BinaryIO) -> str | None:
+    """Media type of an open file: by its first bytes, for archives by the names in their directory, for other text by how it begins; null if nothing is known."""
+    f.seek(0)
+    head = f.read(HEAD)
+    low = head[:64].removeprefix(b"\xef\xbb\xbf").lstrip().lower()
+    if head.startswith(ARCHIVE):
+        try:
+            with zipfile.ZipFile(f) as z:
+                names = z.namelist()
+        except (zipfile.BadZipFile, OSError, ValueError):
+            return None
+        return next((mime for inside, mime in PARTS if any(n.startswith(inside) for n in names)), "application/zip")
+    for start, mime in MAGIC:
+        if (low if start.startswith(b"<") else head).startswith(start):
+            return mime
+    name = detect_encoding(head)
+    if name is None:
+        return None
+    text = (decode(head, name) or "").strip("\ufeff \t\r\n")
+    if _MARKUP.match(text):
+        return "application/xml"
+    if _OBJECT.match(text) and (len(head) == HEAD or _is_json(text)):
+        return "application/json"
+    return "text/plain" if text else None
+
+
+#: How markup and JSON begin.
+_MARKUP, _OBJECT = re.compile(r"<(?:!--|[A-Za-z_][\w.:-]*[\s/>])"), re.compile(r"\{\s*(?:\"|\})|\[\s*(?:[\[{\"\]0-9-]|true|false|null)")
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import email, pan
-from ..functions.text import make_chunks, normalize, sizeof_fmt, suffix
+from ..functions.text import CHUNK_SIZE, make_chunks, normalize, sizeof_fmt, suffix
 from ..operators import results, selection
 from ..operators.limits import within_limits
+from ..sinks import writers
+from ..sources import files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,7 +31,22 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("filename"), F.col("turn").alias("block"), F.col("text").alias("content"))
+    """A block for each turn, signed with an address that every second turn repeats and a number that all turns do."""
+    signed = F.concat(F.coalesce("text", F.lit("")), F.format_string(" from user%s@host%s.org 4893-0133-3538-613", F.col("conv_id").cast("string"), (F.col("turn") % 2).cast("string")), (F.col("conv_id") % 10).cast("string"))
+    return _read(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("filename"), F.col("turn").alias("block"), signed.alias("content"))
+
+
+def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each order, with a number of every brand made of its keys; about one in ten has a right checksum."""
+    digits = F.lpad((F.col("o_orderkey") * 7919 + F.col("o_custkey") * 104729).cast("string"), 15, "0")
+    part = lambda start, n: F.substring(digits, start, n)
+    gap = F.element_at(F.array(F.lit(""), F.lit(" "), F.lit("-")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    fours = lambda first: F.concat_ws("", F.lit(first), part(1, 4 - len(first)), gap, part(4, 4), gap, part(8, 4), gap, part(12, 4))
+    said = F.concat_ws(
+        "; ", F.concat(F.lit("visa "), fours("4")), F.concat(F.lit("mc "), fours("53")), F.concat(F.lit("discover "), fours("6011")), F.concat(F.lit("jcb 3528"), part(4, 12)),
+        F.concat(F.lit("amex 37"), part(1, 2), gap, part(4, 6), gap, part(10, 5)),
+    )
+    return _read(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("filename"), F.lit(0).alias("block"), said.alias("content"))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +58,8 @@ def normalize_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", F.length(clean).alias("clean_chars"), F.md5(clean.cast("binary")).alias("clean_md5"))
 
 
-def _spread(spark: SparkSession, sf_dir: str, values, name: str) -> DataFrame:
-    rows = _files(spark, sf_dir).select("filename", normalize(F.coalesce("content", F.lit(""))).alias("clean"))
+def _spread(spark: SparkSession, sf_dir: str, values, name: str, files=_files) -> DataFrame:
+    rows = files(spark, sf_dir).select("filename", normalize(F.coalesce("content", F.lit(""))).alias("clean"))
     return rows.select("filename", F.posexplode(values(F.col("clean"))).alias("pos", name))
 
 
@@ -60,12 +77,55 @@ def email_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pan_brand(brand: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _spread(spark, sf_dir, lambda c: pan.candidates(c, brand), "candidate")
+        found = _spread(spark, sf_dir, lambda c: pan.candidates(c, brand), "candidate", lambda *of: _files(*of).union(_receipts(*of)))
         return found.select("filename", "pos", F.length("candidate").alias("n_chars"), pan.is_valid(F.col("candidate")).alias("valid"), pan.redact(F.col("candidate")).alias("value"))
 
     return query
 
 
+def email_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses at numbers in brackets, made of customers' keys; they are candidates, but not valid ones. Of four numbers one may be out of range."""
+    def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = F.col("c_custkey")
+        text = F.format_string("to cust%s@[10.%s.%s.%s] and x@y.org", key.cast("string"), (key % 256).cast("string"), (key % 90).cast("string"), (key % 290).cast("string"))
+        return _read(spark, sf_dir, "customer").select(F.concat(F.lit("cust-"), key.cast("string")).alias("filename"), text.alias("content"))
+
+    found = _spread(spark, sf_dir, email.candidates, "candidate", written)
+    return found.select("filename", "pos", "candidate", email.is_valid(F.col("candidate")).alias("valid"))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text, content): documents as files of three encodings by their id."""
+    text, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    content = F.when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+    return _read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), text.alias("text"), content.alias("content"))
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.decoded(_written(spark, sf_dir)).select("path", F.coalesce("encoding", F.lit("none")).alias("encoding"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
+
+
+def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of files that begin in seven ways by the document's id."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    starts = F.array(*map(F.lit, ("%PDF-1.4 ", "<?xml version='1.0'?>", " <!DOCTYPE html>", "<note>", "{\\rtf1 ", "", "")))
+    kind = (F.col("doc_id") % 7).cast("int")
+    content = F.when(kind == 6, F.encode(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))), "UTF-8")).otherwise(F.concat(F.encode(F.element_at(starts, kind + 1), "UTF-8"), text))
+    rows = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+    return files.typed(rows).select(F.col("path").cast("long").alias("doc_id"), F.coalesce("mime", F.lit("none")).alias("mime"))
+
+
+def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read line by line into blocks of two chunks."""
+    rows = files.packed(_written(spark, sf_dir), 2 * CHUNK_SIZE)
+    return rows.select(F.col("path").alias("filename"), "block", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("block_md5"))
+
+
+def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = results.nested(results.findings(_files(spark, sf_dir)))
+    return found.select("filename", writers.yaml_document(F.col("filename"), F.col("matches")).alias("document"))
+
+
 def pan_last_per_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.flat(results.findings(_documents(spark, sf_dir), ["pan"], mode="last_per_brand"))
 
@@ -149,7 +209,7 @@ def blank_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (normalize_content, email_candidates, email_valid, email_redacted, pan_last_per_brand, luhn, scan_flat, scan_csv_rows, scan_counts, scan_nested, scan_totals, conversation_union, file_projection, handler_resolve, file_matches, exclude_dirs, size_format, chunked, blank_limits)
+    for f in (normalize_content, email_candidates, email_valid, email_redacted, pan_last_per_brand, luhn, scan_flat, scan_csv_rows, scan_counts, scan_nested, scan_totals, conversation_union, file_projection, handler_resolve, file_matches, exclude_dirs, size_format, chunked, blank_limits, email_literals, decoded_texts, media_types, content_blocks, yaml_documents)
 } | {f"pan_{brand}": _pan_brand(brand) for brand in pan.BRANDS}
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+"
@@ -184,6 +244,18 @@ mail_values AS (SELECT DISTINCT filename, CASE WHEN length(local) <= 1 THEN repe
     FROM checked WHERE valid)"""
 
 
+_LITERAL = r"\[(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\]"
+_DIGITS = "lpad((o_orderkey * 7919 + o_custkey * 104729)::VARCHAR, 15, '0')"
+_FOURS = "'{0}' || d[1:{1}] || g || d[4:7] || g || d[8:11] || g || d[12:15]"
+_RECEIPTS_SQL = f"""receipts AS (SELECT o_orderkey, {_DIGITS} AS d, (['', ' ', '-'])[o_orderkey % 3 + 1] AS g FROM orders)"""
+_SAID = " || '; ' || ".join((
+    "'visa ' || " + _FOURS.format("4", 3), "'mc ' || " + _FOURS.format("53", 2), "'discover ' || '6011' || g || d[4:7] || g || d[8:11] || g || d[12:15]",
+    "'jcb 3528' || d[4:15]", "'amex 37' || d[1:2] || g || d[4:9] || g || d[10:14]",
+))
+_WITH_RECEIPTS_SQL = _FILES_SQL.replace(" FROM pages)", f" FROM pages\n    UNION ALL SELECT 'order-' || o_orderkey::VARCHAR, {_SAID} FROM receipts)")
+_SIGNED = "coalesce(text, '') || ' from user' || conv_id::VARCHAR || '@host' || (turn % 2)::VARCHAR || '.org 4893-0133-3538-613' || (conv_id % 10)::VARCHAR"
+
+
 def _pan_sql(brands: list[str]) -> str:
     each = "\nUNION ALL ".join(f"SELECT filename, '{b}' AS key, regexp_extract_all(clean, '{_BRAND[b]}') AS found FROM files" for b in brands)
     return f"""hits AS ({each}),
@@ -231,7 +303,34 @@ SELECT filename, '{' || string_agg('"' || datatype || '":' || keys, ',' ORDER BY
 SELECT count(DISTINCT coalesce(source, '')) AS dirs_found, count(*) AS files_found, sum(length(coalesce(text, '')))::BIGINT AS bytes_found,
     count(DISTINCT coalesce(source, '')) FILTER (length(coalesce(text, '')) > 0) AS dirs_scanned, count(*) FILTER (length(coalesce(text, '')) > 0) AS files_scanned,
     sum(length(coalesce(text, '')))::BIGINT AS bytes_scanned, (SELECT count(*) FROM flat) AS total_results FROM documents""",
-    "conversation_union": _with(f"files AS (SELECT 'conv-' || conv_id::VARCHAR AS filename, {_clean('text')} AS clean FROM conversations)", _MAIL_SQL, _pan_sql(list(pan.BRANDS))) + "SELECT filename, 'Email Address' AS datatype, 'email' AS key, value FROM mail_values UNION SELECT filename, 'Primary Account Number', key, value FROM told WHERE valid",
+    "conversation_union": _with(f"files AS (SELECT 'conv-' || conv_id::VARCHAR AS filename, {_clean(_SIGNED)} AS clean FROM conversations)", _MAIL_SQL, _pan_sql(list(pan.BRANDS))) + "SELECT filename, 'Email Address' AS datatype, 'email' AS key, value FROM mail_values UNION SELECT filename, 'Primary Account Number', key, value FROM told WHERE valid",
+    "email_literals": _with(
+        "files AS (SELECT 'cust-' || c_custkey::VARCHAR AS filename, 'to cust' || c_custkey::VARCHAR || '@[10.' || (c_custkey % 256)::VARCHAR || '.' || (c_custkey % 90)::VARCHAR || '.' || (c_custkey % 290)::VARCHAR || '] and x@y.org' AS clean FROM customer)",
+        _MAIL_SQL.replace(_EMAIL, _EMAIL.replace(rf"@(?:{_LABEL}\.)+{_LABEL}", rf"@(?:(?:{_LABEL}\.)+{_LABEL}|{_LITERAL})")),
+    ) + "SELECT filename, pos, candidate, valid FROM checked",
+    "decoded_texts": r"""SELECT 'doc-' || doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 1 THEN 'utf-16' WHEN doc_id % 3 = 2 THEN 'utf-8-sig' WHEN coalesce(text, '') = '' OR controls THEN 'none'
+    WHEN regexp_matches(text, '[^\x00-\x7f]') THEN 'utf-8' ELSE 'ascii' END AS encoding, md5(CASE WHEN doc_id % 3 = 0 AND controls THEN '' ELSE coalesce(text, '') END) AS text_md5
+FROM (SELECT *, regexp_matches(coalesce(text, ''), '[\x00-\x08\x0e-\x1a\x1c-\x1f]') AS controls FROM documents)""",
+    "media_types": r"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/xml' WHEN 2 THEN 'text/html' WHEN 4 THEN 'text/rtf' WHEN 6 THEN 'application/json'
+    WHEN 3 THEN CASE WHEN controls THEN 'none' ELSE 'application/xml' END ELSE CASE WHEN controls OR bare = '' THEN 'none' ELSE 'text/plain' END END AS mime
+FROM (SELECT *, regexp_matches(coalesce(text, ''), '[\x00-\x08\x0e-\x1a\x1c-\x1f]') AS controls, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS bare FROM documents)""",
+    "content_blocks": rf"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
+cut AS (SELECT doc_id, k, list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda w: w <> '') AS words FROM lines),
+sized AS (SELECT doc_id, k, words, len(words) AS n, coalesce(list_sum(list_transform(words, lambda w: length(w) + 1)), 0)::BIGINT AS size FROM cut),
+ended AS (SELECT doc_id, k, sum(size) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS turn FROM sized),
+words AS (SELECT doc_id, k, unnest(words) AS word, unnest(range(n)) AS j FROM sized),
+placed AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS place, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY k, j)::BIGINT AS upto FROM words),
+steps AS (
+    SELECT doc_id, 0::BIGINT AS turn, 0::BIGINT AS start, 0::BIGINT AS block FROM documents
+    UNION ALL SELECT s.doc_id, e.turn, CASE WHEN e.stop - s.start >= 1300 THEN (SELECT min(p.upto) FROM placed p WHERE p.doc_id = s.doc_id AND p.upto >= s.start + 1300) ELSE s.start END,
+        s.block + (e.stop - s.start >= 1300)::INT FROM steps s JOIN ended e ON e.doc_id = s.doc_id AND e.turn = s.turn + 1),
+starts AS (SELECT doc_id, block, min(start) AS start FROM steps GROUP BY ALL),
+spans AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY block), 1000000000000) AS stop FROM starts),
+told AS (SELECT p.doc_id, block, string_agg(word, ' ' ORDER BY place) AS content FROM placed p JOIN spans s ON p.doc_id = s.doc_id AND p.upto > s.start AND p.upto <= s.stop GROUP BY ALL)
+SELECT 'doc-' || doc_id::VARCHAR AS filename, block, length(content)::INT AS n_chars, md5(content) AS block_md5 FROM told""",
+    "yaml_documents": _ALL_SQL + r""", keys AS (SELECT filename, datatype, key, string_agg(chr(10) || '        - ' || chr(39) || replace(value, chr(39), chr(39) || chr(39)) || chr(39), '' ORDER BY value) AS listed FROM flat GROUP BY ALL),
+types AS (SELECT filename, datatype, string_agg(chr(10) || '        ' || key || ':' || listed, '' ORDER BY key) AS keys FROM keys GROUP BY ALL)
+SELECT filename, '---' || chr(10) || 'filename: ' || chr(39) || filename || chr(39) || chr(10) || 'matches:' || string_agg(chr(10) || '    ' || datatype || ':' || keys, '' ORDER BY datatype) AS document FROM types GROUP BY filename""",
     "file_projection": _with(_PATHS_SQL) + "SELECT page_id, path, ext FROM suffixed",
     "handler_resolve": _with(_PATHS_SQL) + f"SELECT page_id, ext, coalesce(mime, '') AS mime, {_HANDLER_SQL} AS handler FROM suffixed",
     "file_matches": _with(_PATHS_SQL) + "SELECT page_id, ext IN ('.txt', '.docx') OR coalesce(mime IN ('application/pdf'), false) AS matched FROM suffixed WHERE length > 0",
@@ -251,4 +350,4 @@ runs AS (SELECT *, sum(data) OVER (PARTITION BY sheet ORDER BY row) AS run FROM
 empties AS (SELECT *, sum(1 - data) OVER (PARTITION BY sheet, run ORDER BY row) AS empty FROM runs),
 stops AS (SELECT sheet, min(row) AS stop FROM empties WHERE empty > 1 GROUP BY sheet)
 SELECT s.sheet, s.row, s.col, s.value FROM seen s LEFT JOIN stops t ON s.sheet = t.sheet WHERE value <> '' AND blanks <= 2 AND (stop IS NULL OR s.row < stop)""",
-} | {f"pan_{b}": _with(_FILES_SQL, _pan_sql([b])) + "SELECT filename, pos, length(candidate)::INT AS n_chars, valid, value FROM told" for b in pan.BRANDS}
+} | {f"pan_{b}": _with(_RECEIPTS_SQL, _WITH_RECEIPTS_SQL, _pan_sql([b])) + "SELECT filename, pos, length(candidate)::INT AS n_chars, valid, value FROM told" for b in pan.BRANDS}

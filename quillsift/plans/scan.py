@@ -17,8 +17,8 @@ def findings(spark: SparkSession, config: ScanConfig) -> DataFrame:
 
 
 def totals(spark: SparkSession, config: ScanConfig) -> DataFrame:
-    listed = files.list_files(spark, config)
-    return results.totals(listed, files.select(listed, config), findings(spark, config))
+    """Counters of the files that are listed, of those that the scan reads, and of the findings."""
+    return results.totals(files.list_files(spark, config), files.selected(spark, config), findings(spark, config))
 
 
 def run(spark: SparkSession, config: ScanConfig) -> None:

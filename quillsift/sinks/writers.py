@@ -34,7 +34,10 @@ def write_json_array(found: DataFrame, path: str) -> None:
 
 
 def _quoted(value: Column) -> Column:
-    return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+    """A YAML string on one line: in single quotes, or in double ones with escapes where there is a line break or another control character."""
+    escaped = F.regexp_replace(F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""), r"[\x7f\u0085\u2028\u2029]", " ")
+    plain = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(value.rlike(r"[\x00-\x1f\x7f\u0085\u2028\u2029]"), escaped).otherwise(plain)
 
 
 def yaml_document(filename: Column, matches: Column) -> Column:
@@ -52,6 +55,15 @@ def write_text(found: DataFrame, path: str) -> None:
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"csv": write_csv, "json": write_json, "json_array": write_json_array, "text": write_text}
 
 
+def register(kind: str, writer: Callable[[DataFrame, str], None]) -> None:
+    """Adds a writer for `results` of this kind, or replaces one."""
+    WRITERS[kind] = writer
+
+
+def unregister(kind: str) -> None:
+    WRITERS.pop(kind, None)
+
+
 def fan_out(found: DataFrame, targets: dict[str, str]) -> None:
     """Writes the findings to every target (kind, path); they are worked out once."""
     kept = results.flat(found).persist()

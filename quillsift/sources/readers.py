@@ -1,27 +1,92 @@
-"""Readers from bytes to blocks of text. A reader takes the bytes of one file and yields texts; errors are the caller's business."""
+"""Readers from a file's bytes to blocks of text. A reader takes all bytes of a file and yields texts; plain text is read in ranges. Errors are the caller's business."""
 
 from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 from ..operators.selection import BLANK_CELLS, BLANK_ROWS
 from . import pdf, xls
-from .encoding import decode
+from .encoding import CUTTABLE, SAMPLE, decode, detect_encoding
 
 Reader = Callable[[bytes], Iterator[str]]
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-
-
-def read_plaintext(raw: bytes) -> Iterator[str]:
-    text = decode(raw)
-    if text:
-        yield text
+#: Characters of a block: as many chunks of 650 as the default of the scan.
+BLOCK = 100_000 * 650
+#: Bytes that are decoded at once.
+_STEP = 8 << 20
+
+
+def pack(lines: Iterable[str], size: int = BLOCK) -> Iterator[str]:
+    """The words of the lines in blocks, one blank apart.
+
+    After a line that fills the buffer (each word counts its blank), one block leaves, up to the word that reaches `size`; what is left at the end is the last block,
+    whatever its size, and may be empty.
+    """
+    words: deque[str] = deque()
+    held = 0
+    for line in lines:
+        new = line.split()
+        words.extend(new)
+        held += sum(map(len, new)) + len(new)
+        if held >= size:
+            out, taken = [], 0
+            while taken < size:
+                out.append(words.popleft())
+                taken += len(out[-1]) + 1
+            held -= taken
+            yield " ".join(out)
+    yield " ".join(words)
+
+
+def lines_between(f: BinaryIO, start: int, stop: int) -> Iterator[bytes]:
+    """The lines that begin in [start, stop), by line feeds, in pieces of about _STEP bytes; a longer line is cut at blanks. A file's ranges give each line once."""
+    at = start
+    if start:
+        f.seek(start - 1)
+        while (part := f.readline(_STEP)) and not part.endswith(b"\n"):
+            at += len(part)
+        at += len(part) - 1
+    f.seek(at)
+    while at < stop and (part := f.read(min(_STEP, stop - at))):
+        at += len(part)
+        while not part.endswith(b"\n") and (more := f.readline(_STEP)):
+            at += len(more)
+            if len(part) >= _STEP and (cut := part.rfind(b" ") + 1):
+                yield part[:cut]
+                part = part[cut:]
+            part += more
+        yield part
+
+
+def read_plaintext(f: BinaryIO, start: int = 0, stop: int | None = None, size: int = BLOCK) -> Iterator[str]:
+    """Blocks of a range of a text file; nothing if its encoding isn't known. Where line feeds are no bytes of their own, the first range is the whole file."""
+    f.seek(0)
+    name = detect_encoding(f.read(SAMPLE))
+    if name is None:
+        return
+    end = f.seek(0, io.SEEK_END)
+    if name not in CUTTABLE:
+        if start:
+            return
+        f.seek(0)
+        text = io.TextIOWrapper(f, encoding=name, errors="replace", newline="")
+        yield from _filled(pack(text, size))
+        text.detach()
+        return
+    parts = (decode(part, name) or "" for part in lines_between(f, start, end if stop is None else stop))
+    yield from _filled(pack((line for part in parts for line in part.removeprefix("\ufeff").split("\n")), size))
+
+
+def _filled(blocks: Iterator[str]) -> Iterator[str]:
+    return (b for b in blocks if b)
 
 
 def _paragraphs(part: bytes) -> Iterator[str]:
@@ -125,4 +190,18 @@ def read_pdf(raw: bytes) -> Iterator[str]:
         yield text
 
 
-READERS: dict[str, Reader] = {"docx": read_docx, "pdf": read_pdf, "plaintext": read_plaintext, "xls": read_xls, "xlsx": read_xlsx}
+READERS: dict[str, Reader] = {"docx": read_docx, "pdf": read_pdf, "plaintext": lambda raw: read_plaintext(io.BytesIO(raw)), "xls": read_xls, "xlsx": read_xlsx}
+
+
+def register(name: str, reader: Reader) -> None:
+    """Adds a reader or replaces one; selection.register() says which files it takes. Workers know it if it is registered in a module that they import."""
+    READERS[name] = reader
+
+
+def unregister(name: str) -> None:
+    READERS.pop(name, None)
+
+
+def read(name: str, f: BinaryIO, start: int = 0, stop: int | None = None) -> Iterator[str]:
+    """The blocks of a file by the reader of this name; only plain text knows ranges."""
+    return read_plaintext(f, start, stop) if name == "plaintext" else READERS[name](f.read())

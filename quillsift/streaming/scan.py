@@ -1,24 +1,27 @@
-"""The scan as a stream: new files of a directory, each final after one read."""
+"""The scan as a stream: new files of the start directories, each final after one read."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ScanConfig
-from ..functions.text import suffix
-from ..operators import results, selection
+from ..operators import results
 from ..sinks.writers import WRITERS
-from ..sources.files import extract, select
+from ..sources import files
 
 
 def stream_findings(spark: SparkSession, config: ScanConfig) -> DataFrame:
-    """Findings of files as they arrive; the state is the list of files seen, kept by the file source."""
-    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(config.start_dirs[0])
-    typed = raw.select("path", suffix(F.col("path")).alias("ext"), "length", "content").withColumn("mime", selection.media_type(F.col("content")))
-    chosen = select(typed, config).withColumn("handler", selection.handler(F.lower("ext") if config.ignore_case else F.col("ext"), F.col("mime")))
-    return results.findings(extract(chosen.select("path", "handler", "content")), config.detectors, config.mode, config.lookaround)
+    """Findings of files as they arrive below any start directory, excluded ones left out; the state is the list of files seen, kept by each directory's source."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    kept = ("path", "modificationTime", "length") if files.opens(config) else ("path", "modificationTime", "length", "content")
+    streams = [spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(d).select(*kept) for d in config.start_dirs]
+    listed = files.listed(reduce(DataFrame.union, streams), config)
+    found = files.chosen(listed, config)
+    blocks = files.extract(files.dealt(found, spark.sparkContext.defaultParallelism) if files.opens(config) else found.select("path", "handler", "content"))
+    return results.findings(blocks, config.detectors, config.mode, config.lookaround)
 
 
 def run(spark: SparkSession, config: ScanConfig, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -15,7 +15,7 @@ from quillsift.operators import results, selection
 from quillsift.operators.limits import within_limits
 from quillsift.plans import scan
 from quillsift.sinks import writers
-from quillsift.sources import files
+from quillsift.sources import files, readers
 from quillsift.sources.encoding import decode, detect_encoding
 from quillsift.sources.readers import read_docx, read_xlsx, sheet_text
 from quillsift.streaming import scan as streaming
@@ -59,7 +59,7 @@ def tree(tmp_path_factory):
     for name, raw in {
         "a.txt": b"card 4684399293674835 and user@example.com\nuser@example.com", "b.TXT": b"no@case.org", "empty.txt": b"", "c.csv": b"\xef\xbb\xbfPAN,x\r\n371449635398431,amex\r\n",
         "d.bin": b"who@bin.org", "f.docx": docx(), "g.xlsx": xlsx(), "h.docx": b"not a zip", "i.xls": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1junk", "latin.log": "caf\xe9 m\xe9@x.org z@z.net".encode("latin-1"),
-        "skip/k.txt": b"skip@me.org", "keep/l.xml": b"<?xml version='1.0'?><m>in@xml.net</m>", ".hid/m.txt": b"hid@den.org", "noise.txt": bytes(range(256)),
+        "skip/k.txt": b"skip@me.org", "keep/l.xml": b"<?xml version='1.0'?><m>in@xml.net</m>", ".hid/m.txt": b"hid@den.org", "noise.txt": bytes(range(256)), "pic.png": b"\x89PNG\r\n\x1a\n\x00",
     }.items():
         (top / name).parent.mkdir(exist_ok=True)
         (top / name).write_bytes(raw)
@@ -76,7 +76,7 @@ def names(frame):
 
 WANT = {
     ("a.txt", "visa", "468439******4835"), ("a.txt", "email", "u***@example.com"), ("c.csv", "amex", ",371449*****8431,"), ("f.docx", "email", "*@b.co"),
-    ("g.xlsx", "email", "*@y.org"), ("g.xlsx", "visa", "468439******4835"), ("latin.log", "email", "*@z.net"), ("l.xml", "email", "i*@xml.net"),
+    ("g.xlsx", "email", "*@y.org"), ("g.xlsx", "visa", "468439******4835"), ("d.bin", "email", "w**@bin.org"), ("b.TXT", "email", "n*@case.org"), ("latin.log", "email", "*@z.net"), ("l.xml", "email", "i*@xml.net"),
 }
 
 
@@ -125,7 +125,22 @@ def test_stream_matches_batch(spark, tree, tmp_path):
     assert rows.select(F.regexp_extract("filename", "[^/]*$", 0)).distinct().count() == batch.count()
 
 
+# Own sentences; the encodings they are written in are told from the bytes.
+SCRIPTS = {
+    "shift_jis": "これは日本語の文章です。カタカナもあります。", "euc-jp": "これは日本語の文章です。カタカナもあります。", "euc-kr": "한국어 문장입니다. 오늘은 날씨가 좋습니다.", "gb18030": "这是一个中文句子，今天天气很好，我们去公园散步。",
+    "big5": "這是一個中文句子，今天天氣很好，我們去公園散步。", "cp1251": "Это русский текст. Сегодня хорошая погода, Москва.", "koi8-r": "Это русский текст. Сегодня хорошая погода, Москва.",
+    "cp866": "Это русский текст. Сегодня хорошая погода, Москва.", "cp1252": "Café déjà vu, naïve Übergrößen für Ärzte – schön",
+}
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+def test_encodings_by_script(name):
+    for text in (SCRIPTS[name], SCRIPTS[name] * 50, f"user@example.com\n{SCRIPTS[name]}"):
+        assert detect_encoding(text.encode(name)) == name and decode(text.encode(name)) == text
+
+
 def test_encodings():
+    assert detect_encoding(b"ab\xe9") == "cp1252" and detect_encoding(b"ab\x81") == "iso-8859-1" and decode(b"ascii first \xc3\xa9", "ascii") == "ascii first é" and decode(b"caf\xe9", "ascii") == "café"
     assert detect_encoding(b"plain") == "ascii" and detect_encoding(b"") is None and detect_encoding(bytes(range(256))) is None
     assert decode("é".encode()) == "é" and decode(b"\xe9t\xe9") == "été" and decode(b"\xef\xbb\xbfx") == "x" and decode("né".encode("utf-16")) == "né"
 
@@ -148,14 +163,108 @@ def test_selection(spark):
     rows = spark.createDataFrame([(".docx", None), (".txt", "application/pdf"), (".TXT", None), ("", "text/plain"), (".x", "image/png")], "ext string, mime string")
     got = rows.select(selection.handler(F.col("ext"), F.col("mime")).alias("h"), selection.file_matches(F.col("ext"), F.col("mime")).alias("m")).collect()
     assert [(r["h"], r["m"]) for r in got] == [("docx", True), ("pdf", True), (None, False), ("plaintext", True), (None, False)]
-    heads = [b"%PDF-1.7", b"<?xml?>", docx(), xlsx(), b"PK\x03\x04plain", b"", bytes.fromhex("D0CF11E0A1B11AE100")]
-    kinds = spark.createDataFrame([(k, bytearray(h)) for k, h in enumerate(heads)], "k int, raw binary").select("k", selection.media_type(F.col("raw")).alias("m")).orderBy("k").collect()
-    assert [r["m"] for r in kinds] == [selection.media_type_of(h) for h in heads] and kinds[2]["m"].endswith("document") and kinds[4]["m"] is None
     dirs = spark.createDataFrame([("/dev",), ("/Development/x",), ("/usr/src",), ("/usr/src/y",), ("/home",)], "d string")
     kept = dirs.where(~selection.excluded(F.col("d"), ["/dev", "/usr/src/"], ["/dev"])).collect()
     assert [r["d"] for r in kept] == ["/dev", "/usr/src", "/home"]
 
 
+OFFICE = "application/vnd.openxmlformats-officedocument"
+
+
+@pytest.mark.parametrize("raw,mime", [
+    (b"%PDF-1.7", "application/pdf"), (b"<?xml?>", "application/xml"), (docx(), f"{OFFICE}.wordprocessingml.document"), (xlsx(), f"{OFFICE}.spreadsheetml.sheet"), (b"PK\x03\x04plain", None),
+    (zipped({f"junk/{k}": "x" for k in range(3000)} | {"word/document.xml": ""}), f"{OFFICE}.wordprocessingml.document"), (zipped({"a": ""}), "application/zip"), (b"", None),
+    (bytes.fromhex("D0CF11E0A1B11AE100"), "application/vnd.ms-excel"), (b"{\\rtf1 x}", "text/rtf"), (b'{"a": [1, 2]}', "application/json"), (b' [{"a": 1}]\n', "application/json"), (b"{curly, but no JSON}", "text/plain"),
+    (b'{"a": ' + b"[1], " * 20000, "application/json"), (b"<a><b/></a>", "application/xml"), (b"<!-- x --><a/>", "application/xml"), (b"\xef\xbb\xbf<!DOCTYPE HTML><p>", "text/html"), (b"< 3 words", "text/plain"),
+    (b"plain text", "text/plain"), ("текст на русском языке".encode("cp1251"), "text/plain"), (b"\x00\x01\x02", None), ("né".encode("utf-16"), "text/plain"),
+])
+def test_media_types(raw, mime):
+    assert selection.media_type_of(io.BytesIO(raw)) == mime
+
+
+def test_large_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Each line once, whatever the ranges; a large file that isn't selected or isn't text is only looked at."""
+    monkeypatch.setattr(files, "RANGE", 997)
+    lines = [f"line {k} user{k}@host{k % 7}.org\n" for k in range(900)]
+    (tmp_path / "big.log").write_text("".join(lines))
+    (tmp_path / "wide.txt").write_text("é" * 700 + " wide@line.org " + "x " * 3000 + "last@line.org")
+    (tmp_path / "utf16.txt").write_bytes("".join(lines).encode("utf-16"))
+    for name, size in (("video.mp4", 3 << 30), ("zeros.log", 3 << 20)):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(size)
+    one = ScanConfig(start_dirs=[str(tmp_path), str(tmp_path / "missing")])
+    blocks = files.read_blocks(spark, one).collect()
+    assert {os.path.basename(r["filename"]) for r in blocks} == {"big.log", "wide.txt", "utf16.txt", "zeros.log"} and not any(r["error"] for r in blocks)
+    for name in ("big.log", "utf16.txt"):
+        own = sorted((r["block"], r["content"]) for r in blocks if r["filename"].endswith(name) and r["content"])
+        assert " ".join(c for _, c in own) == " ".join("".join(lines).split()) and (len(own) > 20) == (name == "big.log")
+    assert {v for f, _, v in names(results.flat(scan.findings(spark, one))) if f == "wide.txt"} == {"w***@line.org", "l***@line.org"}
+    row = scan.totals(spark, one).first()
+    assert row["files_found"] == 5 and row["files_scanned"] == 4
+
+
+def test_lines_of_ranges(monkeypatch):
+    monkeypatch.setattr(readers, "_STEP", 16)
+    raw = b"one\ntwo words\n\n" + b"long line of many words " * 9 + b"\nend without a feed"
+    for size in range(1, 60):
+        parts = [b"".join(readers.lines_between(io.BytesIO(raw), k, min(len(raw), k + size))) for k in range(0, len(raw), size)]
+        full = [p for p in parts if p]
+        assert b"".join(parts) == raw and all(p.endswith(b"\n") for p in full[:-1])
+    assert all(p.endswith((b" ", b"\n")) for p in readers.lines_between(io.BytesIO(raw), 0, len(raw) - 20))
+
+
+def test_packing_of_words_into_blocks():
+    assert list(readers.pack([], 10)) == [""] and list(readers.pack(["  ", ""], 10)) == [""]
+    # a block ends with the word that fills it, blanks counted; a line gives one block at most, and the rest comes at the end
+    assert list(readers.pack(["aaaa bbbb cccc dddd eeee ffff"], 10)) == ["aaaa bbbb", "cccc dddd eeee ffff"]
+    assert list(readers.pack(["aaaa bbbb", "c", "dddd eeeee\tf"], 10)) == ["aaaa bbbb", "c dddd eeeee", "f"]
+    assert list(readers.pack(["x" * 700, "y"], 650)) == ["x" * 700, "y"]
+
+
+def test_own_readers_and_writers(spark, tmp_path):
+    selection.register("reversed", (".rev",))
+    readers.register("reversed", lambda raw: iter([raw.decode()[::-1]]))
+    writers.register("counts", lambda found, path: results.count_results(found).write.mode("overwrite").parquet(path))
+    try:
+        assert list(readers.read("reversed", io.BytesIO(b"olleh"))) == ["hello"]
+        rows = spark.createDataFrame([(".rev",)], "ext string").select(selection.handler(F.col("ext"), F.lit(None).cast("string")).alias("h"), selection.file_matches(F.col("ext"), F.lit("x")).alias("m"))
+        assert tuple(rows.first()) == ("reversed", True)
+        found = results.findings(spark.createDataFrame([("f", 0, "a@b.co")], "filename string, block int, content string"))
+        writers.fan_out(found, {"counts": str(tmp_path / "counts")})
+        assert spark.read.parquet(str(tmp_path / "counts")).first()["results"] == 1
+    finally:
+        selection.unregister("reversed")
+        readers.unregister("reversed")
+        writers.unregister("counts")
+    assert "reversed" not in selection.HANDLERS and "counts" not in writers.WRITERS
+
+
+def test_yaml_of_odd_names(spark):
+    row = spark.createDataFrame([("a 'b'\nc", {"t": {"k": ["v'"]}})], "f string, m map<string, map<string, array<string>>>").select(writers.yaml_document(F.col("f"), F.col("m")).alias("y")).first()
+    assert row["y"].splitlines()[1] == 'filename: "a \'b\'\\nc"' and row["y"].endswith("- 'v'" + "''")
+
+
+def test_stream_of_several_directories(spark, tmp_path):
+    """All start directories are followed, excluded ones are not."""
+    for name in ("in1/a.txt", "in2/b.txt", "in2/skip/c.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"{name[-5]}@{name[:3]}.org")
+    two = ScanConfig(start_dirs=[str(tmp_path / "in1"), str(tmp_path / "in2")], exclude_dirs=[str(tmp_path / "in2/skip")], results={"json": str(tmp_path / "out")})
+    streaming.run(spark, two, str(tmp_path / "state")).awaitTermination(120)
+    rows = spark.read.json(str(tmp_path / "out/batch=*"))
+    assert {os.path.basename(r["filename"]) for r in rows.collect()} == {"a.txt", "b.txt"}
+
+
+def test_files_of_other_stores(spark, tree, monkeypatch):
+    """Where the workers can't open the paths, Spark reads the selected files; those too large for that are told."""
+    monkeypatch.setattr(files, "opens", lambda config: False)
+    got = names(results.flat(scan.findings(spark, conf(tree))))
+    assert {f for f, *_ in got} == {f for f, *_ in WANT}
+    monkeypatch.setattr(files, "WHOLE", 20)
+    errors = {os.path.basename(r["filename"]): r["error"] for r in scan.errors(spark, conf(tree)).collect()}
+    assert errors["a.txt"] == "too large for its store" and "c.csv" in errors
+
+
 def test_nested_union_and_counts(spark):
     blocks = spark.createDataFrame([("f", 0, "a@b.co"), ("f", 1, "a@b.co and x@y.org"), ("g", 0, "nothing"), ("h", 0, None)], "filename string, block int, content string")
     found = results.findings(blocks)
