@@ -42,7 +42,6 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     `tree` has conv, msg, parent (null: a root; so is a message whose parent isn't there) and score. Branches rank by the sum of their scores, then depth, then the
     smaller leaf. Messages that lead round in a circle have no root and are on no path.
     """
-    tree = settle(tree)
     there = tree.select("conv", F.col("msg").alias("parent"), F.lit(True).alias("there"))
     state = settle(tree.join(there, ["conv", "parent"], "left").select("conv", "msg", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("total")))
     parents = state.where("up IS NOT NULL").select("conv", F.col("up").alias("msg")).distinct()
@@ -79,20 +78,28 @@ def format_conversations(messages: DataFrame, top: int = 1) -> DataFrame:
     """(conv_id, branch, segments, formatted): each chosen path as one conversation, with its loss mask by segment.
 
     `messages` has conv_id, turn, role, text and may have parent (a turn of the same conversation) and score; without
-    parent each message answers the one before by turn, repeated rows and ties (by role, then text's hash) included. Null
+    parent each message answers the one before by turn, repeated rows and ties (by role, then text's hash) included. With parent, a turn of a
+    conversation is one message: of several rows the one with the least parent (null first), role and text's hash counts, and what is left equal are copies. Null
     texts and roles are empty, a null conversation is one of its own, other columns are ignored, and an empty table gives none.
     """
     conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     if "parent" in messages.columns:
-        rows = messages.select("conv_id", conv.alias("conv"), F.col("turn").alias("msg"), "parent", role.alias("role"), text.alias("text"), *[c for c in ("score",) if c in messages.columns])
+        tree = messages.select(
+            "conv_id", conv.alias("conv"), F.col("turn").cast("long").alias("msg"), F.col("parent").cast("long").alias("parent"), role.alias("role"), text.alias("text"),
+            (F.col("score").cast("double") if "score" in messages.columns else F.lit(None).cast("double")).alias("score"), F.xxhash64(text).alias("mark"),
+        )
+        first = Window.partitionBy("conv", "msg").orderBy("parent", "role", "mark", "score")
+        rows = tree.where("msg IS NOT NULL").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "mark")
     else:
         order = Window.partitionBy("conv").orderBy("turn", "role", "mark")
         plain = messages.select("conv_id", conv.alias("conv"), "turn", role.alias("role"), text.alias("text"), F.xxhash64(text).alias("mark"))
-        rows = plain.withColumn("msg", F.row_number().over(order)).withColumn("parent", F.when(F.col("msg") > 1, F.col("msg") - 1))
-    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in rows.columns else F.lit(0.0)
-    path = best_paths(rows.select("conv", F.col("msg").cast("long").alias("msg"), F.col("parent").cast("long").alias("parent"), score.alias("score")), top)
-    chosen = rows.withColumn("msg", F.col("msg").cast("long")).join(path, ["conv", "msg"])
+        numbered = plain.withColumn("msg", F.row_number().over(order).cast("long"))
+        rows = numbered.select("conv_id", "conv", "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), "role", "text", F.lit(None).cast("double").alias("score"))
+    # numbered once; the rounds read its narrow columns only, and the texts come in at the end
+    rows = settle(rows)
+    path = best_paths(rows.select("conv", "msg", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), top)
+    chosen = rows.drop("parent", "score").join(path, ["conv", "msg"])
     turns = chosen.groupBy("conv", "branch").agg(F.first("conv_id", ignorenulls=True).alias("conv_id"), F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     made = turns.select("conv_id", "branch", F.flatten(F.transform("turns", lambda t: segments(t["role"], t["text"]))).alias("segments"))
     return made.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["piece"]), ""))
