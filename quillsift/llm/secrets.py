@@ -47,14 +47,14 @@ _PROSE = (
 ).replace("ü", "ue").replace("é", "e").split()
 
 
-def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, label) built from rules: 1 random strings (hex, base64, letters only), 0 identifiers in snake case, camel case, with numbers and dates, words in small letters and capitals, ruled lines."""
+def samples(spark: SparkSession, n: int = 4000, first: int = 0) -> DataFrame:
+    """(text, label) built from rules, of the numbers from `first` on (other numbers give other samples, to test with): 1 random strings (hex, base64, letters only), 0 identifiers in snake case, camel case, with numbers and dates, words in small letters and capitals, ruled lines."""
     pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
     word = lambda k: pick(_WORDS, k)
     prose = lambda between: F.concat_ws(between, *(pick(_PROSE, k) for k in range(11, 16)))
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    rows = spark.range(n)
+    rows = spark.range(first, first + n)
     letters = F.regexp_replace(base64, "[^A-Za-z]", "")
     random = (
         F.when(F.col("id") % 6 < 2, F.substring(digest, 1, 40)).when(F.col("id") % 6 < 4, F.substring(base64, 1, 32))
