@@ -12,6 +12,7 @@ all fingerprints on the driver. A shard returns a spanning forest of its links,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, sha256_hex, ship, text_or_empty, tidy
+from .common import settle, ship, tidy
 from .components import components
 
 SHARD_ROWS = 4096
@@ -29,9 +30,9 @@ SHARD_ROWS = 4096
 DEPTH = 5
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the lower-cased (A-Z) text's word shingles, repeats included; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def fingerprint(text: str | bytes | None, width: int = 3, seed: int = 42) -> int:
+    """SimHash of the lower-cased (A-Z) text's word shingles, repeats included; 0 without words. A text may come as UTF-8."""
+    words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(islice(words, k, None) for k in range(width)))) if len(words) >= width else iter([b" ".join(words)])
@@ -50,12 +51,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64)), batch.column(2)], names=["doc_id", "bits", "text_sha256"])
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            bits = np.fromiter((fingerprint(t, width, seed) for t in texts), np.uint64, batch.num_rows)
+            digests = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64)), digests], names=["doc_id", "bits", "text_sha256"])
 
     ship(docs.sparkSession)
-    text = text_or_empty(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), sha256_hex(text).alias("text_sha256")).mapInArrow(tidy(run), "doc_id long, bits long, text_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, bits long, text_sha256 string")
 
 
 class BKTree:
