@@ -5,14 +5,14 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401 - the operators take it from here
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,12 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+        if not folder and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillsift-"))
     return context.getCheckpointDir()
 
 
+#: For each stage under way, the tables that it has settled.
+_UNDER_WAY: list[list[DataFrame]] = []
+
+
 def settle(frame: DataFrame) -> DataFrame:
     """Write `frame` as Parquet to the shared folder and read it back.
 
@@ -37,7 +41,29 @@ def settle(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.settled_path = path
+    for made in _UNDER_WAY:
+        made.append(out)
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more; other tables stay."""
+    for frame in frames:
+        if path := getattr(frame, "settled_path", None):
+            spark = frame.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settle_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, settled; all that it has settled on the way is deleted."""
+    _UNDER_WAY.append([])
+    try:
+        return settle(make())
+    finally:
+        forget(*_UNDER_WAY.pop()[:-1])
 
 
 def clear_settled(spark: SparkSession) -> int:
@@ -48,28 +74,6 @@ def clear_settled(spark: SparkSession) -> int:
     return sum(bool(store.delete(path, True)) for path in found)
 
 
-_SHIPPED: set[str] = set()
-#: Bytes of rows that a Python worker gets at once, where the session leaves Spark's 64 MB: texts may be long, and a worker holds a few batches.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once an application; they need not have it installed. Keeps Arrow batches small."""
-    context = spark.sparkContext
-    if spark.conf.get(_BATCH, "1b") == "1b":  # the default given here is what an unset key answers with
-        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="quillsift-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
-
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, after which the worker gives memory back to the system; workers are reused, and would keep a task's peak."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     links = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(links)
     while before[0]:
-        links = settle(_small_star(_large_star(links)))
+        old, links = links, settle(_small_star(_large_star(links)))
+        forget(old)
         now = _mark(links)
         if now == before:
             break

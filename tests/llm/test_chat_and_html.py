@@ -1,4 +1,7 @@
 import hashlib
+import math
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +76,18 @@ def test_reply_trees(spark):
     assert {r["branch"]: [t["text"] for t in r["t"]] for r in two} == {1: ["root", "high", "more"], 2: ["root", "low", "x"]}
 
 
+def test_repeated_messages_of_a_tree(spark):
+    """A turn with several rows is one message, copies and contradictions alike; a message without a turn is none."""
+    rows = [(1, 1, None, "user", "root")] * 3 + [(1, 2, 1, "assistant", "b"), (1, 2, 1, "assistant", "b"), (1, 2, 1, "assistant", "other"), (1, 3, 2, "user", "leaf"), (1, 3, 2, "user", "leaf"), (1, None, 1, "user", "lost"), (None, 1, None, "user", "no conversation")]
+    tree = spark.createDataFrame(rows, "conv_id long, turn long, parent long, role string, text string")
+    for parts in (1, 4):
+        made = chat.format_conversations(tree.repartition(parts)).select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()
+        said = {r["conv_id"]: [t["text"] for t in r["t"]] for r in made}
+        assert len(made) == 2 and said[None] == ["no conversation"] and said[1][::2] == ["root", "leaf"] and said[1][1] in ("b", "other")
+        assert parts == 1 or said == before
+        before = said
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="home"><nav><ul><li><a href="/x">menu</a></ul></nav>'
     '<!-- <p>not this</p> --><div class="ad">buy</div><article><header>by line</header><h1>Big &amp; small</h1><p>One <b>bold <i>and</b> it</i>\n  two&nbsp;three<br>four<p>Five &lt;six&gt; &#233;&eacute &bogus;'
@@ -86,8 +101,22 @@ def test_main_text_of_a_page():
     assert html_text.main_text("<article><p>cut off <b>here") == "cut off here" and html_text.main_text("<article><p>whole</p><p") == "whole"
     assert html_text.main_text("<script>never closed <p>x") == "" and html_text.main_text("<" * 2000) != None  # noqa: E711
     assert html_text.main_text("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
-    assert len(list(html_text.branches(html_text.parse("<div>" * 20000 + "deep")))) == html_text.DEPTH
-    assert html_text.main_text("<p>a<p>b<article class='comment'>c</article><main><p>d</main>") == "d"
+    assert html_text.main_text("<p>a<p>b<article class='comment'>c</article><main><p>said</main>") == "said"
+    # a heading's or paragraph's name isn't a container's, and parts of names count for nothing in an article
+    told = '<article><h2 id="related-work">Work</h2><p>body</p><p class="share-price">up</p><div class="notice-board">board</div><div class="notice">cut</div></article>'
+    assert html_text.main_text(told) == "Work\n\nbody\n\nup\n\nboard"
+    assert html_text.main_text('<p title="5" wide">text <a href=x"y title="class=ad">link</a></p>') == "text link"
+    # an article that is only a teaser beside the main column doesn't hide it
+    assert html_text.main_text(f"<div><p>{'long story ' * 30}</p></div><article><p>teaser</p></article>").startswith("long story") and html_text.main_text("<div>by</div><article>story</article>") == "story"
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', "<a x='\"", "<div>", "<b>", "</p>", "<b><div>", "<!--", "<p><table>", "&amp;", "<script>", "<"])
+def test_odd_pages_take_time_in_proportion(unit):
+    n = 60_000
+    for page in (unit * (n // len(unit)) + '"', "<b>" + unit * (n // len(unit)) + "</b></div>" * 5000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 2
 
 
 def test_pages_of_the_table(spark):
@@ -119,6 +148,37 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def brute_tree(pages, min_pages=html_text.MIN_PAGES):
+    """{(host, path): importance} by counting each node's styles and contents page by page."""
+    seen = {}
+    for host, page in pages:
+        for path, prior, style, content, main in set(html_text.branches(html_text.parse(page))):
+            node = seen.setdefault((host, path), {"prior": prior, "seen": []})
+            if main is None or (style, content, main) not in node["seen"]:
+                node["seen"].append((style, content, main))
+    out = {}
+    for key, node in seen.items():
+        n = len(node["seen"])
+        entropy = lambda k: 1.0 if n < 2 else -sum(c / n * math.log(c / n, n) for c in Counter(x[k] for x in node["seen"]).values())
+        own = 1 - (1 - entropy(0)) * (1 - entropy(1)) if n >= min_pages else 1.0
+        out[key] = {1.0: 1.0, 0.0: own * html_text.LOW_WEIGHT, None: own}[node["prior"]]
+    return out
+
+
+def test_style_tree_against_brute_force(spark):
+    """Every importance of the table's trees; the trees cut branches on every page, and the text is what no cut branch holds."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosted = pages.select("page_id", "html", F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("host"))
+    want = brute_tree([(r["host"], r["html"]) for r in hosted.collect()])
+    got = {(r["host"], r["path"]): r["importance"] for r in html_text.style_tree(hosted).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    cut = {r["host"]: frozenset(r["cut"]) for r in html_text.low_branches(hosted).collect()}
+    assert {(h, p) for h, paths in cut.items() for p in paths} == {k for k, x in want.items() if x < html_text.THRESHOLD}
+    text = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    for r in hosted.collect():
+        assert cut[r["host"]] and text[r["page_id"]] == html_text.main_text(r["html"], cut[r["host"]])
+
+
 def test_copies_of_one_article_stay(spark):
     rows = [(k, "https://h.org/a", PAGE) for k in range(50)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -138,5 +198,5 @@ def test_boilerplate_is_cut_at_any_depth(spark):
     rows = [(k, f"http://h.org/{k}", deep.format(k)) for k in range(9)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == {k: f"story number {k}" for k in range(9)}
-    nodes = list(html_text.branches(html_text.parse("<div>" * 20000 + "deep"), float("inf")))
-    assert len(nodes) == 20000 == len({n[0] for n in nodes}) and len({n[2] for n in nodes}) == 1 and max(len(n[0]) for n in nodes) < 50
+    nodes = list(html_text.branches(html_text.parse("<div>" * 20000 + "deep")))
+    assert len(nodes) == 20000 == len({n[0] for n in nodes}) and len({n[3] for n in nodes}) == 1 and max(len(n[0]) for n in nodes) < 50

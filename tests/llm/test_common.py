@@ -12,17 +12,18 @@ def test_settled_tables_come_back_and_go(spark):
     assert common.clear_settled(spark) >= 2 and common.clear_settled(spark) == 0
 
 
-def test_batches_are_small_unless_the_session_says_otherwise(spark):
-    common._SHIPPED.discard(spark.sparkContext.applicationId)
-    old = spark.conf.get(common._BATCH)
-    spark.conf.unset(common._BATCH)
-    common.ship(spark)
-    assert spark.conf.get(common._BATCH) == f"{common.BATCH_BYTES}b"
-    spark.conf.set(common._BATCH, "1000000b")
-    common._SHIPPED.discard(spark.sparkContext.applicationId)
-    common.ship(spark)
-    assert spark.conf.get(common._BATCH) == "1000000b"
-    spark.conf.set(common._BATCH, old)
+def test_a_stage_leaves_its_result_only(spark):
+    common.clear_settled(spark)
+
+    def stage():
+        first = common.settle(spark.range(10))
+        return common.settle(first.where("id > 3")).where("id < 8")
+
+    out = common.settle_alone(stage)
+    assert sorted(r["id"] for r in out.collect()) == [4, 5, 6, 7] and common.clear_settled(spark) == 1
+    kept = common.settle(spark.range(3))
+    common.forget(kept, spark.range(2))
+    assert common.clear_settled(spark) == 0 and not common._UNDER_WAY
 
 
 def test_texts(spark):

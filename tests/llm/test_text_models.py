@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -342,12 +343,51 @@ def test_secrets_on_the_table(spark):
 
 
 def test_markov_models_tell_samples_apart(spark):
+    """On samples that the models haven't seen."""
     table = secrets.train(secrets.samples(spark, 4000))
-    fresh = secrets.samples(spark, 6000).select("label", secrets.ratio(F.col("text"), table).alias("ratio"))
-    rows = fresh.where("length(label) > 0").collect()
+    seen = {r["text"] for r in secrets.samples(spark, 4000).where("label = 1").collect()}
+    fresh = secrets.samples(spark, 6000, first=100_000).select("text", "label", secrets.ratio(F.col("text"), table).alias("ratio"))
+    rows = [r for r in fresh.collect() if r["label"] == 0 or r["text"] not in seen]
+    assert sum(r["label"] for r in rows) == 6000
     assert np.mean([(r["ratio"] > secrets.THRESHOLD) == (r["label"] == 1) for r in rows]) > 0.98
 
 
+def brute_table(rows):
+    """The log-ratio of the two models, as a function of a pair of characters, by counting pairs."""
+    letters, counts = secrets.ALPHABET, {0: {}, 1: {}}
+    for text, label in rows:
+        for pair in zip(text, text[1:]):
+            if pair[0] in letters and pair[1] in letters:
+                counts[label][pair] = counts[label].get(pair, 0) + 1
+    def probability(label, a, b):
+        row = sum(counts[label].get((a, x), 0) + 0.5 for x in letters)
+        return (counts[label].get((a, b), 0) + 0.5) / row
+    return {(a, b): math.log(probability(1, a, b) / probability(0, a, b)) for a in letters for b in letters}
+
+
+def brute_random(text, table):
+    """Spans of the tokens of 16 characters or more that the random model likes better."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) >= 16 and sum(table[p] for p in zip(m[0], m[0][1:])) / (len(m[0]) - 1) > secrets.THRESHOLD:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_random_spans_against_brute_force(spark):
+    """Every span of every kind on the table, and on texts with planted secrets."""
+    rng = np.random.default_rng(11)
+    planted = ["".join(rng.choice(list(kind), n)) for kind in ("0123456789abcdef", secrets.ALPHABET[:62], secrets.ALPHABET[:26]) for n in (16, 20, 33, 64) for _ in range(5)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10_000 + k, f"the key is {t}, see the documentation of configuration_settings") for k, t in enumerate(planted)], "doc_id long, text string"))
+    table = brute_table([(r["text"], r["label"]) for r in secrets.samples(spark).collect()])
+    got = {r["doc_id"]: [(s["start"], s["place"], s["end"]) for s in r["spans"]] for r in secrets.find(docs, secrets.train(secrets.samples(spark))).collect()}
+    found = 0
+    for r in docs.collect():
+        assert got[r["doc_id"]] == sorted(base_brute(r["text"] or "") + brute_random(r["text"] or "", table))
+        found += r["doc_id"] >= 10_000 and (11, 3, 11 + len(planted[r["doc_id"] - 10_000])) in got[r["doc_id"]]
+    assert found >= 0.95 * len(planted)
+
+
 def test_random_tokens_without_an_early_digit(spark):
     random = ["qzjvkxwpfhgbtmyd", "XQJZKVWPHGFBTMYD", "kQzXvJwPfHgBtYmD", "wJalrXUtnFEMIxKtMDENGbPxRfiCYEXAMPLEKEY", "qZxJvKwPhG" * 500 + "7"]
     plain = ["internationalization", "CONFIGURATION_SETTINGS", "Krankenversicherung", "state-of-the-art", "-" * 40, "=" * 40]
