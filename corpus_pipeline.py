@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import exact_dedup, mixing, quality, sentencepiece_codec, simhash
-from quillsift.llm.common import settle, sha256_hex, table, text_or_empty
+from quillsift.llm.common import forget, settle, settle_alone, sha256_hex, table, text_or_empty
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -98,7 +98,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in their order. Each stage's result is settled and what it needed on the way is deleted, its input too; the last one's input stays, as the result reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, settle_alone(lambda: stage(spark, docs, sf_dir))  # noqa: B023 - called at once
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
