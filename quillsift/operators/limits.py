@@ -13,6 +13,8 @@ def within_limits(cells: DataFrame, blank_cells: int = BLANK_CELLS, blank_rows:
 
     A row is read until it has had more than `blank_cells` blanks in all; a sheet until more than `blank_rows` rows in succession gave nothing.
     """
+    # one exchange serves every step: what is dealt out by sheet is dealt out by sheet and row, and by sheet and run
+    cells = cells.repartition("sheet")
     blank = F.coalesce(F.col("value") == "", F.lit(True)).cast("int")
     in_row = Window.partitionBy("sheet", "row").orderBy("col")
     read = cells.withColumn("blanks", F.sum(blank).over(in_row)).withColumn("filled", (blank == 0) & (F.col("blanks") <= blank_cells))

@@ -32,7 +32,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block for each turn, signed with an address that every second turn repeats and a number that all turns do."""
-    signed = F.concat(F.coalesce("text", F.lit("")), F.format_string(" from user%s@host%s.org 4893-0133-3538-613", F.col("conv_id").cast("string"), (F.col("turn") % 2).cast("string")), (F.col("conv_id") % 10).cast("string"))
+    signed = F.concat(F.coalesce("text", F.lit("")), F.format_string(" from user%s@host%s.org 4700-1234-5678-901", F.col("conv_id").cast("string"), (F.col("turn") % 2).cast("string")), (F.col("conv_id") % 10).cast("string"))
     return _read(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("filename"), F.col("turn").alias("block"), signed.alias("content"))
 
 
@@ -253,7 +253,7 @@ _SAID = " || '; ' || ".join((
     "'jcb 3528' || d[4:15]", "'amex 37' || d[1:2] || g || d[4:9] || g || d[10:14]",
 ))
 _WITH_RECEIPTS_SQL = _FILES_SQL.replace(" FROM pages)", f" FROM pages\n    UNION ALL SELECT 'order-' || o_orderkey::VARCHAR, {_SAID} FROM receipts)")
-_SIGNED = "coalesce(text, '') || ' from user' || conv_id::VARCHAR || '@host' || (turn % 2)::VARCHAR || '.org 4893-0133-3538-613' || (conv_id % 10)::VARCHAR"
+_SIGNED = "coalesce(text, '') || ' from user' || conv_id::VARCHAR || '@host' || (turn % 2)::VARCHAR || '.org 4700-1234-5678-901' || (conv_id % 10)::VARCHAR"
 
 
 def _pan_sql(brands: list[str]) -> str:

@@ -49,7 +49,7 @@ def xlsx():
         "xl/sharedStrings.xml": f"<sst {S}><si><t>name</t></si><si><r><t>x@</t></r><r><t>y.org</t></r></si></sst>",
         "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="B3"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>',
         "xl/worksheets/sheet2.xml": f"<worksheet {S}><sheetData/></worksheet>",
-        "xl/worksheets/sheet3.xml": f'<worksheet {S}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>4684399293674835</t></is></c><c r="B1" t="b"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/sheet3.xml": f'<worksheet {S}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>4700123456789010</t></is></c><c r="B1" t="b"><v>1</v></c></row></sheetData></worksheet>',
     })
 
 
@@ -57,7 +57,7 @@ def xlsx():
 def tree(tmp_path_factory):
     top = tmp_path_factory.mktemp("tree")
     for name, raw in {
-        "a.txt": b"card 4684399293674835 and user@example.com\nuser@example.com", "b.TXT": b"no@case.org", "empty.txt": b"", "c.csv": b"\xef\xbb\xbfPAN,x\r\n371449635398431,amex\r\n",
+        "a.txt": b"card 4700123456789010 and user@example.com\nuser@example.com", "b.TXT": b"no@case.org", "empty.txt": b"", "c.csv": b"\xef\xbb\xbfPAN,x\r\n371234567890120,amex\r\n",
         "d.bin": b"who@bin.org", "f.docx": docx(), "g.xlsx": xlsx(), "h.docx": b"not a zip", "i.xls": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1junk", "latin.log": "caf\xe9 m\xe9@x.org z@z.net".encode("latin-1"),
         "skip/k.txt": b"skip@me.org", "keep/l.xml": b"<?xml version='1.0'?><m>in@xml.net</m>", ".hid/m.txt": b"hid@den.org", "noise.txt": bytes(range(256)), "pic.png": b"\x89PNG\r\n\x1a\n\x00",
     }.items():
@@ -75,8 +75,8 @@ def names(frame):
 
 
 WANT = {
-    ("a.txt", "visa", "468439******4835"), ("a.txt", "email", "u***@example.com"), ("c.csv", "amex", ",371449*****8431,"), ("f.docx", "email", "*@b.co"),
-    ("g.xlsx", "email", "*@y.org"), ("g.xlsx", "visa", "468439******4835"), ("d.bin", "email", "w**@bin.org"), ("b.TXT", "email", "n*@case.org"), ("latin.log", "email", "*@z.net"), ("l.xml", "email", "i*@xml.net"),
+    ("a.txt", "visa", "470012******9010"), ("a.txt", "email", "u***@example.com"), ("c.csv", "amex", ",371234*****0120,"), ("f.docx", "email", "*@b.co"),
+    ("g.xlsx", "email", "*@y.org"), ("g.xlsx", "visa", "470012******9010"), ("d.bin", "email", "w**@bin.org"), ("b.TXT", "email", "n*@case.org"), ("latin.log", "email", "*@z.net"), ("l.xml", "email", "i*@xml.net"),
 }
 
 
@@ -102,9 +102,9 @@ def test_sinks(spark, tree, tmp_path):
     found = scan.findings(spark, conf(tree))
     writers.fan_out(found, {k: str(tmp_path / k) for k in ("csv", "json", "text")})
     lines = [r for p in (tmp_path / "csv").glob("*.csv") for r in csv.DictReader(p.open(newline="", encoding="utf-8"))]
-    assert {r["value"] for r in lines if r["filename"].endswith("a.txt")} == {"visa: 468439******4835", "email: u***@example.com"}
+    assert {r["value"] for r in lines if r["filename"].endswith("a.txt")} == {"visa: 470012******9010", "email: u***@example.com"}
     rows = [json.loads(x) for p in (tmp_path / "json").glob("*.json") for x in p.read_text().splitlines()]
-    assert {k: v for r in rows if r["filename"].endswith("g.xlsx") for k, v in r["matches"].items()} == {"Email Address": {"email": ["*@y.org"]}, "Primary Account Number": {"visa": ["468439******4835"]}}
+    assert {k: v for r in rows if r["filename"].endswith("g.xlsx") for k, v in r["matches"].items()} == {"Email Address": {"email": ["*@y.org"]}, "Primary Account Number": {"visa": ["470012******9010"]}}
     text = "".join(p.read_text() for p in (tmp_path / "text").glob("*.txt"))
     assert "matches:\n    Email Address:\n        email:\n        - '*@b.co'\n" in text and text.count("---\n") == len(rows)
 
@@ -147,7 +147,7 @@ def test_encodings():
 
 def test_readers():
     assert list(read_docx(docx())) == ["top\nmail a@b.co\ncell\nbottom\nnote\nremark\n{'creator': 'Ann'}"]
-    assert list(read_xlsx(xlsx())) == ["name x@y.org\n2", "4684399293674835 True"]
+    assert list(read_xlsx(xlsx())) == ["name x@y.org\n2", "4700123456789010 True"]
     assert sheet_text(iter([["a"], *[[]] * 250, ["b"], *[[]] * 251, ["c"]])) == "a\nb"
     assert sheet_text(iter([[*[""] * 500, "x", "", "y"]])) == "x"
 
