@@ -10,7 +10,7 @@ from .common import sha256_hex, table
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component", "text_sha256")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component", "mark")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ all fingerprints on the driver. A shard returns a spanning forest of its links,
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -47,17 +46,17 @@ def fingerprint(text: str | bytes | None, width: int = 3, seed: int = 42) -> int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, bits, text_sha256): one row for each row of `docs`, bits as a signed long. A null text counts as empty."""
+    """(doc_id, bits, mark): one row for each row of `docs`, bits as a signed long, mark the text's hash as xxhash64() has it. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             bits = np.fromiter((fingerprint(t, width, seed) for t in texts), np.uint64, batch.num_rows)
-            digests = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64)), digests], names=["doc_id", "bits", "text_sha256"])
+            marks = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64)), pa.array(marks.view(np.int64))], names=["doc_id", "bits", "mark"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, bits long, text_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, bits long, mark long")
 
 
 class BKTree:
@@ -185,7 +184,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_rows: int = SH
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, seed: int = 42, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, fingerprint, component_id, group_rows, component, text_sha256) for every row of `docs`.
+    """(doc_id, fingerprint, component_id, group_rows, component, mark) for every row of `docs`.
 
     component_id is the smallest id reachable over links of `radius` differing bits or fewer, itself included;
     group_rows counts the rows of the fingerprint, component is the component's least fingerprint as a signed long. Nulls and texts without words have fingerprint zero and are linked
@@ -202,5 +201,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own_name = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id"))
     classes = distinct.join(many, "bits", "left").select("bits", "group_rows", own_name.alias("component_id"), F.coalesce("component", "bits").alias("component"))
     return own.join(settle(classes), "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "group_rows", "component", "text_sha256"
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "group_rows", "component", "mark"
     )
