@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, sha256_hex, text_or_empty
+from .common import WORD, settle, text_or_empty
 
 #: Hex digits of the hash that make a bin: 4096 bins a source.
 BIN_DIGITS = 3
@@ -43,18 +43,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, whole: bool = False) -> DataFrame:
-    """One row for each row of `docs`: doc_id, text_sha256, source, size, source_size, target, taken, start, passes.
+    """One row for each row of `docs`: doc_id, mark (its text's hash), source, size, source_size, target, taken, start, passes.
 
     taken is the number of words the mix takes of the document, over all copies. Each source's taken words are its
     target's whole words: full passes over the source, then documents in hash order until the target, the last of
     them cut inside. whole: the last one is taken or left whole, whichever is nearer. start is the document's running number of
-    words in its source; documents of one hash come by id, size and text_sha256, so that only rows that are equal may change places. Nulls: a null text has size 0, a null source is a source of its own, a null id comes first.
+    words in its source; documents of one hash come by id, size and mark, so that only rows that are equal may change places. Nulls: a null text has size 0, a null source is a source of its own, a null id comes first.
     Repeated rows are planned each on its own. An empty table gives an empty table.
     """
     own = settle(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("deal"), sha256_hex(text_or_empty(text_col)).alias("text_sha256"),
+            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("deal"), F.xxhash64(text_or_empty(text_col)).alias("mark"),
         ).withColumn("bin", F.substring("deal", 1, BIN_DIGITS))
     )
     bins = own.groupBy("source", "bin").agg(F.sum("size").alias("words"))
@@ -62,17 +62,17 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     base = bins.select("source", "bin", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     known = settle(base.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "bin", "base", "source_size", "target"))
-    inside = Window.partitionBy("source", "bin").orderBy("deal", "doc_id", "size", "text_sha256").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("deal", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     met = placed.alias("p").join(known.alias("k"), F.col("p.source").eqNullSafe(F.col("k.source")) & (F.col("p.bin") == F.col("k.bin")))
-    row = met.select("doc_id", "text_sha256", "p.source", "size", "source_size", "target", (F.col("base") + F.col("inner")).alias("start"))
+    row = met.select("doc_id", "mark", "p.source", "size", "source_size", "target", (F.col("base") + F.col("inner")).alias("start"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
     partly = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
     if whole:
         partly = F.when(2 * partly > F.col("size"), F.col("size")).otherwise(0)
     return row.withColumn("passes", passes).withColumn("taken", F.col("passes") * F.col("size") + partly).select(
-        "doc_id", "text_sha256", "source", "size", "source_size", "target", "taken", "start", "passes"
+        "doc_id", "mark", "source", "size", "source_size", "target", "taken", "start", "passes"
     )
 
 

@@ -96,7 +96,7 @@ def test_a_dense_ball_of_fingerprints(spark):
 
 def test_rows_without_an_id_link_others(spark, monkeypatch):
     bits = [(1, 0), (None, 7), (2, 63), (None, 1 << 60)]
-    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame([(*b, "") for b in bits], "doc_id long, bits long, text_sha256 string"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame([(*b, 0) for b in bits], "doc_id long, bits long, mark long"))
     got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(spark.range(1)).collect()}
     assert got == {(1, f"{0:016x}"): 1, (None, f"{7:016x}"): 1, (2, f"{63:016x}"): 1, (None, f"{1 << 60:016x}"): 1}
 

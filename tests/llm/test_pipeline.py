@@ -1,9 +1,11 @@
 import hashlib
 import importlib
 import re
+import struct
 import sys
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from quillsift.llm import mixing, quality, sentencepiece_codec, simhash
@@ -91,11 +93,11 @@ def test_repeated_rows_and_null_ids(spark):
     want = {}
     for r in mixing.plan(docs, whole=True).collect():
         if r["taken"]:
-            key = r["doc_id"], r["text_sha256"]
+            key = r["doc_id"], r["mark"]
             want[key] = want.get(key, 0) + r["taken"] // r["size"]
     got = {}
     for i, t in mixed:
-        key = i, hashlib.sha256((t or "").encode()).hexdigest()
+        key = i, struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest((t or "").encode(), 42)))[0]
         got[key] = got.get(key, 0) + 1
     assert got == want and len(want) >= 3
     for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix, corpus_pipeline.token_ids):
@@ -109,7 +111,7 @@ ODD = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, LONG, "en", "a",
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_every_stage_takes_odd_rows(spark, name, stage):
     """Nulls in every column, empty and very long texts, repeated rows, an empty table, extra columns with clashing names."""
-    clash = "component string, text_sha256 string, kept string, n string, row string, position string, score string, predicted string, ids string, own_sha256 string"
+    clash = "component string, key string, kept string, n string, row string, position string, score string, predicted string, ids string, own_sha256 string"
     docs = spark.createDataFrame([(*r, *"abcdefghij") for r in ODD], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
     got = stage(spark, docs, SF)
     rows = got.collect()
