@@ -14,34 +14,29 @@ from quillsift.llm.common import forget, settle, settle_alone, sha256_hex, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _key(docs: DataFrame) -> Column:
-    """What tells apart the rows of one id: the hash of the text; a null text counts as empty."""
-    return sha256_hex(text_or_empty())
+def _meet(docs: DataFrame, keys: DataFrame, how: str, key: Column | None = None) -> DataFrame:
+    """`docs` joined to `keys` by doc_id, null ids included, and by `key` if it is given, which the keys hold as column key."""
+    own = docs.select(*COLUMNS) if key is None else docs.select(*COLUMNS, key.alias("own_key"))
+    at = own["doc_id"].eqNullSafe(keys["doc_id"])
+    met = own.join(keys, at if key is None else at & (own["own_key"] == keys["key"]), how)
+    return met if how != "inner" else met.drop(keys["doc_id"])
 
 
-def _meet(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """`docs` joined to `keys` (doc_id, text_sha256, ...) on both, null ids included."""
-    own = docs.select(*COLUMNS, _key(docs).alias("own_sha256"))
-    met = own.join(keys, own["doc_id"].eqNullSafe(keys["doc_id"]) & (own["own_sha256"] == keys["text_sha256"]), how)
-    return met if how != "inner" else met.drop(keys["doc_id"], keys["text_sha256"])
+def _shared(rows: DataFrame) -> DataFrame:
+    """The ids that several rows have. Only these are told apart by their texts, which few rows have to move for."""
+    return settle(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
 
 
-def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """`docs` with the rows whose keys are `repeated` there once each; only these are moved beside the others."""
-    if not repeated.head(1):
-        return docs.select(*COLUMNS)
-    again = _meet(docs, repeated, "left_semi").dropDuplicates(["doc_id", "own_sha256"])
-    return _meet(docs, repeated, "left_anti").select(*COLUMNS).union(again.select(*COLUMNS))
-
-
-def _kept(docs: DataFrame, fates: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay by `fates` (doc_id, text_sha256, kept), each key once."""
-    keys = settle(fates.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 OR NOT kept"))
-    repeated = settle(keys.where("kept"))
-    if not repeated.head(1):
-        return _meet(docs, keys, "left_anti").select(*COLUMNS)
-    again = _meet(docs, repeated, "left_semi").dropDuplicates(["doc_id", "own_sha256"])
-    return _meet(docs, keys, "left_anti").select(*COLUMNS).union(again.select(*COLUMNS))
+def _kept(docs: DataFrame, fates: DataFrame, key: Column) -> DataFrame:
+    """The rows of `docs` that stay by `fates` (doc_id, key, kept); rows that repeat an id and a key stay once. Rows of a sole id meet their fate by the id."""
+    fates = settle(fates)
+    shared = _shared(fates)
+    if not shared.head(1):
+        return _meet(docs, settle(fates.where("NOT kept").select("doc_id")), "left_anti")
+    gone = settle(fates.where("NOT kept").select("doc_id").union(shared).distinct())
+    stay = settle(fates.where("kept").select("doc_id", "key").distinct())
+    again = _meet(_meet(docs, shared, "left_semi"), stay, "left_semi", key).dropDuplicates(["doc_id", "own_key"])
+    return _meet(docs, gone, "left_anti").union(again.select(*COLUMNS))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,16 +51,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (null: empty), of the document with the largest id, a null id being the smallest; a row that is there twice is kept once."""
-    groups = settle(exact_dedup.exact_groups(docs))
-    return _kept(docs, groups.select("doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")))
+    groups = exact_dedup.exact_groups(docs)
+    fates = groups.select("doc_id", F.col("text_sha256").alias("key"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return _kept(docs, fates, sha256_hex(text_or_empty()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: of the smallest id, null last, then of the least text hash. Rows that share an id but not a text are judged each on its own."""
-    groups = settle(simhash.near_duplicates(docs).select("doc_id", "text_sha256", "component"))
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    groups = settle(simhash.near_duplicates(docs).select("doc_id", F.col("mark").alias("key"), "component"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     best = settle(groups.groupBy("component").agg(F.min(rank).alias("best")))
-    return _kept(docs, groups.join(best, "component").select("doc_id", "text_sha256", rank.eqNullSafe(F.col("best")).alias("kept")))
+    return _kept(docs, groups.join(best, "component").select("doc_id", "key", rank.eqNullSafe(F.col("best")).alias("kept")), F.xxhash64(text_or_empty()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,10 +69,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row has its own copies; rows that repeat an id and a text are planned one by one and interchangeable. Rows of size 0 and texts that are null aren't taken.
     """
-    placed = settle(mixing.copies(mixing.plan(docs, whole=True)).select("doc_id", "text_sha256", "position"))
-    seen = docs.select("doc_id", _key(docs).alias("text_sha256")).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
-    rows = _once(docs, settle(seen.where("n > 1").drop("n")))
-    copies = _meet(rows, placed, "inner").select(*COLUMNS, "position")
+    placed = settle(mixing.copies(mixing.plan(docs, whole=True)).select("doc_id", F.col("mark").alias("key"), "position"))
+    shared = _shared(docs)
+    if not shared.head(1):
+        copies = _meet(docs, placed.drop("key"), "inner")
+    else:
+        alone = _meet(_meet(docs, shared, "left_anti"), placed.drop("key"), "inner")
+        rows = _meet(docs, shared, "left_semi").withColumn("own_key", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "own_key"])
+        copies = alone.select(*COLUMNS, "position").union(_meet(rows, placed, "inner", F.col("own_key")).select(*COLUMNS, "position"))
     return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
 
 
