@@ -161,6 +161,7 @@ def shard_masks(radius: int, depth: int) -> list[list[int]]:
 
 def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, depth: int = DEPTH) -> DataFrame:
     """Links (a, b) that span every pair of `distinct`(bits, node) at `radius` or less."""
+    ship(distinct.sparkSession)
     masks = shard_masks(radius, depth)
     dealt = distinct.select("bits", "node", F.explode(F.sequence(F.lit(0), F.lit(len(masks[0]) - 1))).alias("kind"))
     ready, level = [], 0
