@@ -5,17 +5,22 @@ A document is a file with one block, a page a file named by its url, a conversat
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ScanConfig
 from ..functions import email, pan
 from ..functions.text import CHUNK_SIZE, make_chunks, normalize, sizeof_fmt, suffix
 from ..operators import results, selection
 from ..operators.limits import within_limits
 from ..sinks import writers
 from ..sources import files
+from . import scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -121,6 +126,31 @@ def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("path").alias("filename"), "block", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("block_md5"))
 
 
+BUCKETS, LEFT_OUT = 16, 7
+
+
+def _written_files(spark: SparkSession, sf_dir: str) -> ScanConfig:
+    """Documents as lines of real files, a folder with one file for each remainder of their ids; one folder is excluded from the scan."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="quillsift-")
+    folder = f"{shared}/written-{uuid.uuid4().hex}"
+    line = F.concat(F.lit("begin "), normalize(F.coalesce("text", F.lit(""))), F.lit(" end"))
+    rows = _read(spark, sf_dir, "documents").select((F.col("doc_id") % BUCKETS).alias("bucket"), line.alias("value"))
+    rows.repartition("bucket").write.partitionBy("bucket").option("compression", "none").text(folder)
+    return ScanConfig(start_dirs=[folder], exclude_dirs=[re.sub("^file:(//)?(?=/)", "", f"{folder}/bucket={LEFT_OUT}/")[:-1]])
+
+
+def written_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing, exclusion, media types, selection, reading and detection over real files."""
+    found = results.flat(scan.findings(spark, _written_files(spark, sf_dir)))
+    return found.select(F.regexp_extract("filename", "bucket=([0-9]+)", 1).cast("long").alias("bucket"), "datatype", "key", "value").distinct()
+
+
+def written_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.totals(spark, _written_files(spark, sf_dir))
+
+
 def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = results.nested(results.findings(_files(spark, sf_dir)))
     return found.select("filename", writers.yaml_document(F.col("filename"), F.col("matches")).alias("document"))
@@ -209,7 +239,7 @@ def blank_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (normalize_content, email_candidates, email_valid, email_redacted, pan_last_per_brand, luhn, scan_flat, scan_csv_rows, scan_counts, scan_nested, scan_totals, conversation_union, file_projection, handler_resolve, file_matches, exclude_dirs, size_format, chunked, blank_limits, email_literals, decoded_texts, media_types, content_blocks, yaml_documents)
+    for f in (normalize_content, email_candidates, email_valid, email_redacted, pan_last_per_brand, luhn, scan_flat, scan_csv_rows, scan_counts, scan_nested, scan_totals, conversation_union, file_projection, handler_resolve, file_matches, exclude_dirs, size_format, chunked, blank_limits, email_literals, decoded_texts, media_types, content_blocks, yaml_documents, written_findings, written_totals)
 } | {f"pan_{brand}": _pan_brand(brand) for brand in pan.BRANDS}
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+"
@@ -328,6 +358,13 @@ starts AS (SELECT doc_id, block, min(start) AS start FROM steps GROUP BY ALL),
 spans AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY block), 1000000000000) AS stop FROM starts),
 told AS (SELECT p.doc_id, block, string_agg(word, ' ' ORDER BY place) AS content FROM placed p JOIN spans s ON p.doc_id = s.doc_id AND p.upto > s.start AND p.upto <= s.stop GROUP BY ALL)
 SELECT 'doc-' || doc_id::VARCHAR AS filename, block, length(content)::INT AS n_chars, md5(content) AS block_md5 FROM told""",
+    "written_findings": _with(_DOCS_SQL.replace(" FROM documents)", f" FROM documents WHERE doc_id % {BUCKETS} <> {LEFT_OUT})"), _MAIL_SQL, _pan_sql(list(pan.BRANDS))) + f"""
+SELECT DISTINCT substr(filename, 5)::BIGINT % {BUCKETS} AS bucket, datatype, key, value FROM (
+    SELECT filename, 'Email Address' AS datatype, 'email' AS key, value FROM mail_values UNION SELECT filename, 'Primary Account Number', key, value FROM told WHERE valid)""",
+    "written_totals": _with(_DOCS_SQL.replace(" FROM documents)", f" FROM documents WHERE doc_id % {BUCKETS} <> {LEFT_OUT})"), _MAIL_SQL, _pan_sql(list(pan.BRANDS))) + f""",
+flat AS (SELECT DISTINCT substr(filename, 5)::BIGINT % {BUCKETS} AS bucket, key, value FROM (SELECT filename, 'email' AS key, value FROM mail_values UNION SELECT filename, key, value FROM told WHERE valid)),
+sized AS (SELECT substr(filename, 5)::BIGINT % {BUCKETS} AS bucket, sum(strlen('begin ' || clean || ' end') + 1)::BIGINT AS n FROM files GROUP BY ALL)
+SELECT count(*) AS dirs_found, count(*) AS files_found, sum(n)::BIGINT AS bytes_found, count(*) AS dirs_scanned, count(*) AS files_scanned, sum(n)::BIGINT AS bytes_scanned, (SELECT count(*) FROM flat) AS total_results FROM sized""",
     "yaml_documents": _ALL_SQL + r""", keys AS (SELECT filename, datatype, key, string_agg(chr(10) || '        - ' || chr(39) || replace(value, chr(39), chr(39) || chr(39)) || chr(39), '' ORDER BY value) AS listed FROM flat GROUP BY ALL),
 types AS (SELECT filename, datatype, string_agg(chr(10) || '        ' || key || ':' || listed, '' ORDER BY key) AS keys FROM keys GROUP BY ALL)
 SELECT filename, '---' || chr(10) || 'filename: ' || chr(39) || filename || chr(39) || chr(10) || 'matches:' || string_agg(chr(10) || '    ' || datatype || ':' || keys, '' ORDER BY datatype) AS document FROM types GROUP BY filename""",

@@ -154,7 +154,7 @@ def read_blocks(spark: SparkSession, config: ScanConfig) -> DataFrame:
     """(filename, block, content, error) of every selected file: a row for each block, or one with an error or no content at all. Blocks of a file are in order, not without gaps."""
     if opens(config):
         found = chosen(list_files(spark, config), config)
-        return extract(dealt(found, spark.sparkContext.defaultParallelism * 8))
+        return extract(dealt(found, spark.sparkContext.defaultParallelism * 4))
     whole = listed(_load(spark, config).where(F.col("length") <= WHOLE), config)
     large = select(listed(_load(spark, config).where(F.col("length") > WHOLE).drop("content"), config), config)
     told = large.select(F.col("path").alias("filename"), F.lit(0).cast("long").alias("block"), F.lit(None).cast("string").alias("content"), F.lit("too large for its store").alias("error"))
