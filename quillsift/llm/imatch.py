@@ -12,6 +12,8 @@ of short lists by hash, so that a term is looked up in constant time.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,14 +90,29 @@ def told(marks: Column) -> Column:
     return F.array_join(F.transform(marks, lambda m: F.lower(F.lpad(F.hex(m), 6, "0"))), "")
 
 
-def _blocks(docs: DataFrame, key: Column) -> list[int]:
-    """The first keys of ranges of about BLOCK_ROWS rows; they are keys of the table, so each range knows its first row."""
+#: Comes before every text's hash.
+_LEAST = -(1 << 63)
+
+
+def _blocks(docs: DataFrame, key: Column, tie: Column) -> list[tuple[int, int]]:
+    """The first (key, tie) of ranges of about BLOCK_ROWS rows, MOST_BLOCKS or so at most; they are in the table, so each range knows its first row. A tie of _LEAST stands for all rows of the key.
+
+    An id that many rows share is many ranges, by the texts' hashes.
+    """
     seen = docs.agg(F.count("*").alias("n"), F.min(key).alias("least")).first()
     if not seen["n"]:
-        return [0]
+        return [(0, _LEAST)]
     n = max(1, min(MOST_BLOCKS, seen["n"] // BLOCK_ROWS))
     cuts = docs.agg(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], max(10000, 4 * n)).alias("cuts")).first()["cuts"] if n > 1 else []
-    return sorted({seen["least"], *cuts})
+    firsts = {(k, _LEAST) for k in {seen["least"], *cuts}}
+    size = max(BLOCK_ROWS, seen["n"] // MOST_BLOCKS)
+    hot = settle(docs.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * size))
+    if hot.head(1):
+        rows = docs.select(key.alias("key"), tie.alias("tie")).join(hot, "key")
+        part = F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * F.ceil(F.col("n") / size))
+        found = rows.groupBy("key", part.alias("part")).agg(F.min("tie").alias("tie")).collect()
+        firsts = {f for f in firsts if f[0] not in {r["key"] for r in found}} | {(r["key"], r["tie"]) for r in found}
+    return sorted(firsts)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -111,19 +128,21 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hash), the first following the last. Texts move once: rows go to the range of their id, and each range's first row also
     goes to the range before. A null text counts as empty, other columns are ignored, an empty table gives an empty one.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    firsts = _blocks(docs, key)
-    held = _constant(lexicon(docs, text_col, low, high))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
     text = text_or_empty(text_col)
-    own = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col(id_col).alias("doc_id"), text.alias("text"), kept_terms(text, held).alias("kept"))
+    tie = F.xxhash64(text)
+    firsts = _blocks(docs, key, tie)
+    held = _constant(lexicon(docs, text_col, low, high))
+    own = docs.select(key.alias("key"), tie.alias("tie"), F.col(id_col).alias("doc_id"), text.alias("text"), kept_terms(text, held).alias("kept"))
     own = own.select("key", "tie", "doc_id", "text", marks(F.col("kept")).alias("marks"))
-    # a range is found in two steps, among every 64th first key and then among the 64 that follow
-    cuts = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")
-    coarse = F.split(F.lit(",".join(map(str, firsts[::64]))), ",").cast("array<bigint>")
-    group = F.size(F.filter(coarse, lambda c: c <= F.col("key"))) - 1
-    block = _let(F.greatest(group, F.lit(0)), lambda g: g * 64 + F.size(F.filter(F.slice(cuts, g * 64 + 1, 64), lambda c: c <= F.col("key"))) - 1)
+    # a range is found in two steps, among every 64th first row and then among the 64 that follow
+    listed = lambda pairs: F.from_json(F.lit(json.dumps([{"key": k, "tie": t} for k, t in pairs])), "array<struct<key: bigint, tie: bigint>>")
+    cuts, coarse, here = listed(firsts), listed(firsts[::64]), F.struct("key", "tie")
+    group = F.size(F.filter(coarse, lambda c: c <= here)) - 1
+    block = _let(F.greatest(group, F.lit(0)), lambda g: g * 64 + F.size(F.filter(F.slice(cuts, g * 64 + 1, 64), lambda c: c <= here)) - 1)
     last = len(firsts) - 1
-    is_first = F.element_at(cuts, F.col("block") + 1) == F.col("key")
+    first = F.element_at(cuts, F.col("block") + 1)
+    is_first = (first["key"] == F.col("key")) & first["tie"].isin(F.lit(_LEAST), F.col("tie"))
     home = F.struct(F.col("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.when(F.col("block") > 0, F.col("block") - 1).otherwise(last).alias("block"), F.lit(True).alias("guest"))
     dealt = own.withColumn("block", block).withColumn("at", F.explode(F.when(is_first, F.array(home, guest)).otherwise(F.array(home))))

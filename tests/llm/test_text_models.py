@@ -477,6 +477,22 @@ def test_imatch_odd_rows(spark):
     assert one[0]["edited_sha256"] == hashlib.sha256(text.encode()).hexdigest() and one[0]["near_next"] == 1.0
 
 
+def test_imatch_ids_that_many_rows_share(spark, monkeypatch):
+    """Rows without an id, and rows of one id, are many ranges by their texts' hashes; each row's next is the next of all."""
+    monkeypatch.setattr(imatch, "BLOCK_ROWS", 4)
+    rows = [(None, f"none {k} " * (k % 5 + 1)) for k in range(150)] + [(7, f"seven {k} " * (k % 4 + 1)) for k in range(90)] + [(7, "the same text")] * 30 + [(k, f"own {k}") for k in (-3, 6, 8, 9, 500)]
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(r[1].encode(), 42)))[0]))
+    want = []
+    for k, (i, own) in enumerate(order):
+        half, after = len(own) // 2, order[(k + 1) % len(order)][1]
+        want.append((-1 if i is None else i, hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = imatch.edited_likeness(docs).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["edited_sha256"]) for r in got) == sorted(want)
+    key, tie = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text")
+    assert len(imatch._blocks(docs, key, tie)) > 40
+
+
 def test_imatch_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(imatch, "BLOCK_ROWS", 1)
     rows = [(k * 7 % 1009, f"t{k} " * (k % 9)) for k in range(400)]
