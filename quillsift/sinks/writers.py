@@ -11,13 +11,13 @@ from ..operators import results
 
 
 def write_csv(found: DataFrame, path: str) -> None:
-    """filename,datatype,value with a header, quoted where needed, CRLF line ends, UTF-8."""
-    results.csv_rows(results.flat(found)).write.option("header", True).option("escape", '"').option("lineSep", "\r\n").option("encoding", "UTF-8").mode("overwrite").csv(path)
+    """filename,datatype,value with a header, quoted where needed, CRLF line ends, UTF-8; by filename over the part files."""
+    results.csv_rows(results.flat(found)).orderBy("filename", "datatype", "value").write.option("header", True).option("escape", '"').option("lineSep", "\r\n").option("encoding", "UTF-8").mode("overwrite").csv(path)
 
 
 def write_json(found: DataFrame, path: str) -> None:
-    """One JSON object a line and file: filename, matches by datatype and key."""
-    results.nested(found).write.mode("overwrite").json(path)
+    """One JSON object a line and file: filename, matches by datatype and key; by filename over the part files."""
+    results.nested(found).orderBy("filename").write.mode("overwrite").json(path)
 
 
 def write_json_array(found: DataFrame, path: str) -> None:
@@ -48,8 +48,8 @@ def yaml_document(filename: Column, matches: Column) -> Column:
 
 
 def write_text(found: DataFrame, path: str) -> None:
-    """A YAML document a file, separated by ---."""
-    results.nested(found).select(yaml_document(F.col("filename"), F.col("matches")).alias("value")).write.mode("overwrite").text(path)
+    """A YAML document a file, separated by ---, by filename over the part files."""
+    results.nested(found).orderBy("filename").select(yaml_document(F.col("filename"), F.col("matches")).alias("value")).write.mode("overwrite").text(path)
 
 
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"csv": write_csv, "json": write_json, "json_array": write_json_array, "text": write_text}

@@ -106,6 +106,10 @@ def test_sinks(spark, tree, tmp_path):
     rows = [json.loads(x) for p in (tmp_path / "json").glob("*.json") for x in p.read_text().splitlines()]
     assert {k: v for r in rows if r["filename"].endswith("g.xlsx") for k, v in r["matches"].items()} == {"Email Address": {"email": ["*@y.org"]}, "Primary Account Number": {"visa": ["470012******9010"]}}
     text = "".join(p.read_text() for p in (tmp_path / "text").glob("*.txt"))
+    in_order = [json.loads(x)["filename"] for p in sorted((tmp_path / "json").glob("part-*.json")) for x in p.read_text().splitlines()]
+    told = [x for p in sorted((tmp_path / "text").glob("part-*.txt")) for x in p.read_text().splitlines() if x.startswith("filename: ")]
+    listed = [r["filename"] for p in sorted((tmp_path / "csv").glob("part-*.csv")) for r in csv.DictReader(p.open(newline="", encoding="utf-8"))]
+    assert in_order == sorted(in_order) and told == sorted(told) and len(told) == len(in_order) and listed == sorted(listed)
     assert "matches:\n    Email Address:\n        email:\n        - '*@b.co'\n" in text and text.count("---\n") == len(rows)
 
 
