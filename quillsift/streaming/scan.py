@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ScanConfig
+from ..functions import registry
 from ..operators import results
 from ..sinks.writers import WRITERS
 from ..sources import files
@@ -20,7 +21,7 @@ def stream_findings(spark: SparkSession, config: ScanConfig) -> DataFrame:
     streams = [spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(d).select(*kept) for d in config.start_dirs]
     listed = files.listed(reduce(DataFrame.union, streams), config)
     found = files.chosen(listed, config)
-    blocks = files.extract(files.dealt(found, spark.sparkContext.defaultParallelism) if files.opens(config) else found.select("path", "handler", "content"))
+    blocks = files.extract(files.dealt(found, spark.sparkContext.defaultParallelism) if files.opens(config) else found.select("path", "handler", "content"), registry.takes_pieces(config.detectors, config.mode))
     return results.findings(blocks, config.detectors, config.mode, config.lookaround)
 
 

@@ -2,6 +2,7 @@ import csv
 import io
 import json
 import os
+import re
 import tomllib
 import zipfile
 from pathlib import Path
@@ -225,6 +226,52 @@ def test_packing_of_words_into_blocks():
     assert list(readers.pack(["x" * 700, "y"], 650)) == ["x" * 700, "y"]
 
 
+def test_blocks_are_packed_in_little_memory(monkeypatch):
+    """A worker holds the characters of a block, not an object for each of its words, and of pieces only one."""
+    import tracemalloc
+
+    monkeypatch.setattr(readers, "_STEP", 1 << 18)
+    raw = b"some words of a line that is read from a file\n" * 200_000
+    for pieces, most in ((False, 4 * len(raw)), (True, len(raw))):
+        tracemalloc.start()
+        got = [hash(b) for b in readers.read_plaintext(io.BytesIO(raw), pieces=pieces)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most and (len(got) > 5) == pieces
+
+
+def test_pieces_have_the_findings_of_the_whole():
+    import random
+
+    from quillsift.functions import email, pan
+
+    number = re.compile(r"(?:^|[^\d.-])(?:" + "|".join(pan.BRANDS.values()) + r")(?:$|[^\d.-])")
+    mail = re.compile(email.PATTERN.replace(r"(?:\G|(?<!", "(?:(?<!").replace("(?<!" + email.ATOM + ")", "(?<!" + email.ATOM + ")"))
+    found = lambda texts: [[m.strip() for t in texts for m in p.findall(t)] for p in (number, mail)]
+    draw = random.Random(7)
+    words = ["4700123456789010", "4700", "1234", "5678", "9010", "371234 567890", "12345", "a", "end", "x@y.org", '"a\\ b"@y.org', "-", "4700-1234-5678-9010", "é9", "9é"]
+    for _ in range(300):
+        lines = [" ".join(draw.choices(words, k=draw.randint(0, 9))) for _ in range(draw.randint(0, 30))]
+        whole = " ".join(" ".join(lines).split())
+        for size in (1, 5, 40, 200):
+            got = list(readers.cut(lines, size))
+            assert " ".join(got) == whole and found(got) == found([whole])
+    digits = [" ".join(["4700 1234"] * 9)] * 50
+    assert list(readers.cut(digits, 10)) == [" ".join(digits)] and max(map(len, readers.cut(digits, 10, 100))) < 110
+    assert " ".join(readers.cut(digits, 10, 100)) == " ".join(digits)
+
+
+def test_pieces_only_for_detectors_that_allow_them(spark):
+    from quillsift.functions import registry
+
+    assert registry.takes_pieces() and registry.takes_pieces(["pan"]) and not registry.takes_pieces(mode="last_per_brand")
+    registry.register("own", "Own", lambda text, **_: F.array())
+    try:
+        assert not registry.takes_pieces() and not registry.takes_pieces(["own"]) and registry.takes_pieces(["email"])
+    finally:
+        registry.unregister("own")
+
+
 def test_own_readers_and_writers(spark, tmp_path):
     selection.register("reversed", (".rev",))
     readers.register("reversed", lambda raw: iter([raw.decode()[::-1]]))
