@@ -152,3 +152,11 @@ def test_registry(spark):
     unregister("shout")
     assert "shout" not in supported()
     assert [(m["datatype"], m["key"], m["value"]) for m in got] == [("Email Address", "email", "*@b.co"), ("Shouting", "word", "HELLO")]
+
+
+def test_numbers_are_sought_near_digits_only(spark):
+    """Text far from digits goes before the brands' patterns run; what they find, and which neighbours they consume, stays."""
+    near = pan.near_digits(F.col("c"))
+    rows = spark.createDataFrame([("far from it 12, x - 34 and so on",), ("x4700123456789010y4700123456789010z",), ("none",), ("",), (None,)], "c string").select(near).collect()
+    assert [r[0] for r in rows] == ["f 12, 34 n", "x4700123456789010y4700123456789010z", "ne", "", None]
+    assert "regexp_replace" in str(pan.candidates(F.col("c"), "amex")) and "aggregate(" not in str(pan.redact(F.col("c")))
