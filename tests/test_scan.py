@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillsift import cli, config
 from quillsift.config import ScanConfig
 from quillsift.operators import results, selection
-from quillsift.operators.limits import within_limits
+from quillsift.operators.limits import rows_within_limits, within_limits
 from quillsift.plans import scan
 from quillsift.sinks import writers
 from quillsift.sources import files, readers
@@ -164,6 +164,31 @@ def test_blank_limits(spark):
     assert {r["value"] for r in within_limits(cells, 2, 2).collect()} == {"a", "late", "below", "ok"}
 
 
+def test_blank_limits_of_rows_in_parts(spark):
+    """Parts of a row count as one; the cells of a sheet are as a plain loop reads them, and rows are dealt out once, not cells."""
+    import random
+
+    draw = random.Random(5)
+    rows = [(s, r, [(draw.randint(1, 9), draw.choice(["", None, f"{s}-{r}"])) for _ in range(draw.randint(1, 6))]) for s in range(40) for r in (draw.randint(1, 12) for _ in range(9)) if draw.random() < 0.8 or s % 2]
+    rows += [(s, r, [(1, "")]) for s in range(0, 40, 3) for r in range(3, 6)]
+    want = []
+    for sheet in {s for s, *_ in rows}:
+        idle = 0
+        for row in sorted({r for s, r, _ in rows if s == sheet}):
+            cells = [c for s, r, part in rows if (s, r) == (sheet, row) for c in part]
+            kept = [c for c in cells if c[1] and sum(not v and k <= c[0] for k, v in cells) <= 2]
+            idle = 0 if kept else idle + 1
+            if idle > 1:
+                break
+            want += [(sheet, row, *c) for c in kept]
+    frame = spark.createDataFrame(rows, "sheet int, row int, cells array<struct<col: int, value: string>>")
+    got = rows_within_limits(frame, 2, 1)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Exchange ") <= 1 and "Join" not in got._jdf.queryExecution().sparkPlan().toString()
+    cells = frame.select("sheet", "row", F.inline("cells"))
+    assert sorted(map(tuple, within_limits(cells, 2, 1).collect())) == sorted(want)
+
+
 def test_selection(spark):
     rows = spark.createDataFrame([(".docx", None), (".txt", "application/pdf"), (".TXT", None), ("", "text/plain"), (".x", "image/png")], "ext string, mime string")
     got = rows.select(selection.handler(F.col("ext"), F.col("mime")).alias("h"), selection.file_matches(F.col("ext"), F.col("mime")).alias("m")).collect()
