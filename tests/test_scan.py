@@ -374,3 +374,10 @@ def test_command_line(tmp_path, capsys):
 def test_files_listing(spark, tree):
     listed = {os.path.basename(r["path"]): r for r in files.list_files(spark, conf(tree)).collect()}
     assert "k.txt" not in listed and listed["a.txt"]["ext"] == ".txt" and "empty.txt" not in listed
+
+
+def test_a_number_across_the_end_of_a_piece_stays_whole():
+    text = "word " * 20 + "4700 1234 5678 9010 end"
+    for size in range(90, 125):
+        assert any("4700 1234 5678 9010" in p for p in readers.read("plaintext", io.BytesIO(text.encode()), pieces=True))
+        assert any("4700 1234 5678 9010" in p for p in readers.cut([text], size))
