@@ -160,3 +160,12 @@ def test_numbers_are_sought_near_digits_only(spark):
     rows = spark.createDataFrame([("far from it 12, x - 34 and so on",), ("x4700123456789010y4700123456789010z",), ("none",), ("",), (None,)], "c string").select(near).collect()
     assert [r[0] for r in rows] == ["f 12, 34 n", "x4700123456789010y4700123456789010z", "ne", "", None]
     assert "regexp_replace" in str(pan.candidates(F.col("c"), "amex")) and "aggregate(" not in str(pan.redact(F.col("c")))
+
+
+@pytest.mark.parametrize("brand,number", [("visa", VISA)])
+def test_redaction_by_place(spark, brand, number):
+    """Only the digits between the first six and the last four are masked, whatever stands between and around them, by any mask."""
+    rows = spark.createDataFrame([(f"x{number[:4]} {number[4:]}y",), ("1234567890",), ("no digits",), (None,)], "c string").select(pan.redact(F.col("c"), "$1"), pan.redact(F.col("c"))).collect()
+    hidden = len(number) - 10
+    assert [r[0] for r in rows] == [f"x{number[:4]} {number[4:6]}{'$1' * hidden}{number[-4:]}y", "1234567890", "no digits", None]
+    assert rows[0][1] == f"x{number[:4]} {number[4:6]}{'*' * hidden}{number[-4:]}y" and "aggregate(" not in str(pan.redact(F.col("c")))
