@@ -162,7 +162,7 @@ def test_numbers_are_sought_near_digits_only(spark):
     assert "regexp_replace" in str(pan.candidates(F.col("c"), "amex")) and "aggregate(" not in str(pan.redact(F.col("c")))
 
 
-@pytest.mark.parametrize("brand,number", [("visa", VISA)])
+@pytest.mark.parametrize("brand,number", [("visa", VISA), ("jcb", JCB)])
 def test_redaction_by_place(spark, brand, number):
     """Only the digits between the first six and the last four are masked, whatever stands between and around them, by any mask."""
     rows = spark.createDataFrame([(f"x{number[:4]} {number[4:]}y",), ("1234567890",), ("no digits",), (None,)], "c string").select(pan.redact(F.col("c"), "$1"), pan.redact(F.col("c"))).collect()
