@@ -169,3 +169,35 @@ def test_redaction_by_place(spark, brand, number):
     hidden = len(number) - 10
     assert [r[0] for r in rows] == [f"x{number[:4]} {number[4:6]}{'$1' * hidden}{number[-4:]}y", "1234567890", "no digits", None]
     assert rows[0][1] == f"x{number[:4]} {number[4:6]}{'*' * hidden}{number[-4:]}y" and "aggregate(" not in str(pan.redact(F.col("c")))
+
+
+def _redacted(text):
+    """Redaction character by character."""
+    n, seen, out = sum(c in "0123456789" for c in text), 0, []
+    for c in text:
+        seen += c in "0123456789"
+        out.append("*" if c in "0123456789" and 6 < seen <= n - 4 else c)
+    return "".join(out)
+
+
+def test_redaction_takes_one_pattern(spark):
+    """Each pattern is a pass over every number of a table."""
+    assert str(pan.redact(F.col("c"))).count("regexp") == 1
+    texts = ["", "x", "123456789", "1234567890", "12345678901", "x1234-5678-9012-3456\n", "1 2 3 4 5 6\n7 8 9 0 1 2", "4" * 40, "--".join("9876543210123"), "\u0664" * 12, "1234567\u06648901 2", "\U0001f4b3371234 567890 12345\U0001f4b3"]
+    assert _rows(spark, texts, lambda c: pan.redact(c)) == [_redacted(t) for t in texts]
+
+
+@pytest.mark.parametrize("brand", list(pan.BRANDS))
+def test_texts_without_numbers_are_not_normalized(spark, brand):
+    from quillsift.plans import queries
+
+    plan = queries.QUERIES[f"pan_{brand}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
+    number = {"visa": VISA, "jcb": JCB, "amex": AMEX, "mc": MC, "discover": DISCOVER}[brand]
+    cuts = {"amex": (4, 10), "jcb": ()}.get(brand, (4, 8, 12))
+    texts = [grouped(number, gap, cuts) for gap in ("", "-", " ", "\n", " \t\r\n ", "\u00a0\u2003", "\x1c\x85", " - ", "--", "- ", "x")]
+    texts += [f"{a}{t}{b}" for t in texts for a, b in (("\n\n", "\n\n"), ("y", "z"), ("y" * 2000, " " * 2000), (f"{'ab ' * 700}", f"  {number}  "))] + ["", "nothing here", "1234 567", None]
+    rows = spark.createDataFrame([(t, 0, t) for t in texts], "filename string, block int, content string")
+    values = lambda c: pan.candidates(c, brand)
+    of = lambda *more: sorted(map(tuple, queries._spread(spark, "", values, "candidate", lambda *_: rows, *more).collect()))
+    assert of(pan.may_hold) == of() and of()
