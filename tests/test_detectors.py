@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import email, pan
 from quillsift.functions.registry import detect, register, supported, unregister
-from quillsift.functions.text import make_chunks, normalize, sizeof_fmt, suffix
+from quillsift.functions.text import SPACES, make_chunks, normalize, sizeof_fmt, strip, suffix
 
 
 def luhn(body):
@@ -201,3 +201,24 @@ def test_texts_without_numbers_are_not_normalized(spark, brand):
     values = lambda c: pan.candidates(c, brand)
     of = lambda *more: sorted(map(tuple, queries._spread(spark, "", values, "candidate", lambda *_: rows, *more).collect()))
     assert of(pan.may_hold) == of() and of()
+
+
+def test_candidates_are_stripped_without_a_pattern(spark):
+    """A table has as many candidates as rows or more; all 29 characters go at both ends, and none inside."""
+    assert len(set(SPACES)) == 29 and not SPACES.split()
+    cases = [f"{a}x{a}{b}y{b}" for a, b in zip(SPACES, reversed(SPACES))] + [SPACES + "x" + SPACES, SPACES, "", "\u200bx\u200b", None]
+    assert _rows(spark, cases, strip) == [c and c.strip() for c in cases]
+    for brand in pan.BRANDS:
+        assert str(pan.candidates(F.col("c"), brand)).count("regexp_replace") == 1
+    assert "regexp" not in str(strip(F.col("c")))
+
+
+def test_jcb_looks_for_a_digit_first(spark):
+    """Its format has three beginnings, which would be tried at every character; what it finds is what the plain pattern finds."""
+    assert "(?=[0-9])" in str(pan.candidates(F.col("c"), "jcb")) and "{4}" not in pan.ANY_RAW
+    numbers = [JCB, luhn("21312468135790"), luhn("18002468135790"), luhn("352824681357902")]
+    marks = ["", " ", "-", ".", "x", "7", "\u0664", "\n", "\u00a0", "\U0001f4b3", "; "]
+    texts = [f"{a}{n}{b}{m}{c}" for n, m in zip(numbers, numbers[1:] + numbers[:1]) for a in marks for b in marks for c in ("", "z")]
+    plain = F.transform(F.regexp_extract_all(F.col("text"), F.lit(pan.BEFORE + pan.BRANDS["jcb"] + pan.AFTER), F.lit(0)), strip)
+    want = _rows(spark, texts, lambda c: plain)
+    assert _rows(spark, texts, lambda c: pan.candidates(c, "jcb")) == want and sum(map(len, want)) > len(texts) // 2
